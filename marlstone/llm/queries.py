@@ -13,6 +13,8 @@ from .pii import find_personal_data
 from .quality import quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .simhash import simhash_components
+from .substring_dedup import remove_repeats
 from .warc import archive_round_trip
 
 
@@ -20,6 +22,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), k=4, most=4)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
