@@ -20,6 +20,8 @@ from .common import checkpoint
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Distinct texts behind a pair of entity and term, and the share of IC that a term may not reach.
 SUPPORT, DISCLOSURE = 3, 0.9
+#: Candidate terms that are broadcast to the count over the corpus, at most (a few dozen bytes each).
+BROADCAST_TERMS = 200_000
 #: Same matches as the plain patterns, in linear time: possessive, and begun only where the last
 #: match ended or a run begins.
 PATTERNS = {
@@ -84,10 +86,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), F.length(text), text).alias("k2"), text.alias("text"))
 
 
+def _may_match(keyed: DataFrame) -> DataFrame:
+    """The few texts in which anything can match at all, so that no other text is moved."""
+    return keyed.where(F.col("text").contains("@") | F.col("text").rlike("[0-9]"))
+
+
 def base_matches(keyed: DataFrame) -> DataFrame:
     """Valid base matches of each distinct text: k1, k2, kind, start, end, match."""
     digit, text = F.col("digit"), F.col("text")
-    may = keyed.select("k1", "k2", "text", text.contains("@").alias("at"), text.rlike("[0-9]").alias("digit")).where("at or digit")
+    may = _may_match(keyed).select("k1", "k2", "text", text.contains("@").alias("at"), text.rlike("[0-9]").alias("digit"))
     patterns = {
         0: (PATTERNS["email"], F.col("at")),
         1: (PATTERNS["ip"], digit & text.contains(".")),
@@ -107,7 +114,7 @@ def disclosing_terms(keyed: DataFrame, base: DataFrame, n_texts: int, support: i
     frequent = entities.groupBy("e").agg(F.count(F.lit(1)).alias("e_texts")).where(F.col("e_texts") >= support)
     entities = checkpoint(entities.join(frequent, "e"))
     words = F.array_distinct(F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)))
-    exposed = keyed.join(entities.select("k1", "k2").distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi")
+    exposed = _may_match(keyed).join(entities.select("k1", "k2").distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi")
     near = checkpoint(exposed.select("k1", "k2", F.explode(words).alias("term")).distinct())
     pairs = near.join(entities, ["k1", "k2"]).groupBy("e", "e_texts", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     ic = -F.log2(F.col("e_texts") / n_texts)
@@ -115,6 +122,8 @@ def disclosing_terms(keyed: DataFrame, base: DataFrame, n_texts: int, support: i
     most = F.log2(F.lit(float(n_texts)) / F.col("e_texts"))
     pairs = checkpoint(pairs.where((ic > 0) & (most >= disclosure * ic)))
     terms = pairs.select("term").distinct()
+    if terms.count() <= BROADCAST_TERMS:  # a bounded table; beyond it the words are shuffled
+        terms = F.broadcast(terms)
     corpus = keyed.select("k1", "k2", F.explode(words).alias("term"))
     counted = corpus.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("t_texts"))
     pmi = F.log2(F.col("both") * F.lit(float(n_texts)) / (F.col("e_texts") * F.col("t_texts")))
@@ -132,7 +141,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
     n_texts = max(1, keys.select("k1", "k2").distinct().count())
     base = checkpoint(base_matches(keyed))
     terms = checkpoint(disclosing_terms(keyed, base, n_texts, support, disclosure))
-    texts = keyed.join(terms.select("k1", "k2").distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi").select("k1", "k2", _lower(F.col("text")).alias("text"))
+    texts = _may_match(keyed).join(terms.select("k1", "k2").distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi").select("k1", "k2", _lower(F.col("text")).alias("text"))
     places = located(texts, {4: (TERM, F.lit(True))}, ["k1", "k2"]).join(terms.withColumnRenamed("term", "match"), ["k1", "k2", "match"], "left_semi")
     span = F.struct("start", "kind", "end")
     base_of = base.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(span)).alias("base"))
