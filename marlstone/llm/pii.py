@@ -151,7 +151,8 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
     own = own.select("k1", "k2", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", clear))).alias("all"))
     names = F.array(*(F.lit(k) for k in KINDS))
     text_of = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    count_of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count_of(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     digest = own.select("k1", "k2", *counts, F.sha2(text_of(F.col("base")), 256).alias("base_sha256"), text_of(F.col("all")).alias("spans"))
     joined = keys.join(digest, ["k1", "k2"], "left")
     numbers = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS[:4]]
