@@ -25,12 +25,16 @@ from pyspark.sql import functions as F
 from .common import WordHashes, column_bytes, grams, shuffle_partitions
 
 #: Questions that a task gathers before it sends them, and buckets for each shuffle partition.
-GATHER, BUCKETS = 1_000_000, 4
-#: An answer: a document and the packed hashes that stand for repeats in it. A question: no document,
-#: its bucket, packed hashes, their documents (as differences) and whether the asker has others.
-_ROW = "doc long, bucket int, hashes binary, docs binary, flags binary"
-_NAMES = ["doc", "bucket", "hashes", "docs", "flags"]
-_KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+GATHER, BUCKETS = 1_000_000, 2
+#: Stands for a null doc_id where rows are dealt out; no answer has it.
+NOBODY = -(1 << 63)
+#: Packed hashes and their documents (as differences). A question goes to the bucket of its hash and has a
+#: flag for each hash, whether the asker has later documents with it; an answer has none and goes to the
+#: bucket of its document.
+_ROW = "bucket int, hashes binary, docs binary, flags binary"
+_NAMES = ["bucket", "hashes", "docs", "flags"]
+_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+_BY_DOC = "doc long, hashes binary"
 
 
 def _batches(rows: list):
@@ -39,15 +43,32 @@ def _batches(rows: list):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, _KINDS, strict=True)], names=_NAMES)
 
 
-def _answers(doc: np.ndarray, h: np.ndarray, buckets: int) -> list:
-    """Rows (doc, bucket, hashes), one for each document, spread over the buckets by document."""
-    if not len(doc):
+def _packed(bucket: np.ndarray, h: np.ndarray, doc: np.ndarray, flag: np.ndarray | None = None) -> list:
+    """Rows of the given hashes, one for each bucket."""
+    if not len(bucket):
         return []
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    ends = np.append(cuts[1:], len(doc))
-    return [(d, d % buckets, h[s:e].tobytes(), None, None) for d, s, e in zip(doc[cuts].tolist(), cuts.tolist(), ends.tolist(), strict=True)]
+    order = np.lexsort((doc, bucket))
+    bucket, h, doc = bucket[order], h[order], doc[order]
+    flag = flag[order] if flag is not None else None
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(cuts[1:], len(bucket))
+    return [(int(bucket[s]), h[s:e].tobytes(), np.diff(doc[s:e], prepend=0).tobytes(), None if flag is None else np.packbits(flag[s:e]).tobytes()) for s, e in zip(cuts, ends, strict=True)]
+
+
+def _answers(doc: np.ndarray, h: np.ndarray, buckets: int) -> list:
+    return _packed(doc % buckets, h, doc)
+
+
+def _unpacked(rows: list, flags: bool = False) -> list[np.ndarray]:
+    """Hashes, documents and flags of packed rows."""
+    out = [[np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)]]
+    for row in rows:
+        h = np.frombuffer(row["hashes"], np.uint64)
+        out[0].append(h)
+        out[1].append(np.cumsum(np.frombuffer(row["docs"], np.int64)))
+        if flags:
+            out[2].append(np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=len(h)).astype(bool))
+    return [np.concatenate(x) for x in out]
 
 
 class Questions:
@@ -65,7 +86,7 @@ class Questions:
     def flush(self):
         """Answers for all but the first document of each hash; questions for the first, flagged where
         the task itself has later ones."""
-        if not self.parts:
+        if not self.size:
             return
         h, by, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
@@ -78,32 +99,21 @@ class Questions:
         several = np.zeros(int(group[-1]) + 1, bool)
         several[group[later]] = True
         h, doc, flag, bucket = h[start], doc[start], several, (by[start] % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((doc, bucket))
-        h, doc, flag, bucket = h[order], doc[order], flag[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1)).tolist()
-        rows = []
-        for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if e > s:
-                rows.append((None, b, h[s:e].tobytes(), np.diff(doc[s:e], prepend=0).tobytes(), np.packbits(flag[s:e]).tobytes()))
-        yield from _batches(rows)
+        yield from _batches(_packed(bucket, h, doc, flag))
 
 
 def _reply(buckets: int, earlier: bool):
     """Answers the questions of a partition; lets answers through."""
 
     def run(batches):
-        asked = [[], [], []]
+        asked = []
         for batch in batches:
-            question = batch.column("doc").is_null()
+            question = batch.column("flags").is_valid()
             yield batch.filter(pc.invert(question))
-            for row in batch.filter(question).to_pylist():
-                h = np.frombuffer(row["hashes"], np.uint64)
-                flag = np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=len(h)).astype(bool)
-                for own, x in zip(asked, (h, np.cumsum(np.frombuffer(row["docs"], np.int64)), flag), strict=True):
-                    own.append(x)
-        if not asked[0]:
+            asked += batch.filter(question).to_pylist()
+        if not asked:
             return
-        h, doc, flag = (np.concatenate(x) for x in asked)
+        h, doc, flag = _unpacked(asked, flags=True)
         asked.clear()
         order = np.lexsort((doc, h))
         h, doc, flag = h[order], doc[order], flag[order]
@@ -119,11 +129,27 @@ def _reply(buckets: int, earlier: bool):
     return run
 
 
+def _by_document(batches):
+    """All hashes of each document of the partition."""
+    rows = [row for batch in batches for row in batch.to_pylist()]
+    h, doc, _ = _unpacked(rows)
+    rows.clear()
+    order = np.argsort(doc, kind="stable")
+    h, doc = h[order], doc[order]
+    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
+    ends = np.append(cuts[1:], len(doc))
+    for i in range(0, len(cuts), 10_000):
+        some = slice(i, i + 10_000)
+        packed = [h[s:e].tobytes() for s, e in zip(cuts[some].tolist(), ends[some].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[some]]), pa.array(packed, pa.binary())], names=["doc", "hashes"])
+
+
 def _exchange(questions: DataFrame, earlier: bool, name: str) -> DataFrame:
-    """Answers by document: doc and all packed hashes that stand for its repeats, as a list of arrays."""
+    """Answers by document: ``d`` and the packed hashes that stand for its repeats."""
     partitions = shuffle_partitions(questions.sparkSession)
-    dealt = questions.repartition(partitions, "bucket")
-    return dealt.mapInArrow(_reply(partitions * BUCKETS, earlier), _ROW).groupBy("doc").agg(F.collect_list("hashes").alias(name))
+    replies = questions.repartition(partitions, "bucket").mapInArrow(_reply(partitions * BUCKETS, earlier), _ROW)
+    home = replies.repartition(partitions, "bucket").mapInArrow(_by_document, _BY_DOC)
+    return home.select(F.col("doc").alias("d"), F.col("hashes").alias(name))
 
 
 def _selected(h: np.ndarray, base: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +165,8 @@ def _first_level(base: int, window: int, buckets: int):
         hashes, questions = WordHashes(), Questions(buckets, earlier=False)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), strict=True):
-                words = text.split()
-                if len(words) < window:
+                words = (text or b"").split()
+                if doc is None or len(words) < window:
                     continue
                 g, at = _selected(hashes.of(words), base, window)
                 own = np.unique(g[np.unique(at)])
@@ -155,13 +181,13 @@ def _second_level(base: int, window: int, buckets: int):
     def run(batches):
         hashes, questions = WordHashes(), Questions(buckets, earlier=True)
         for batch in batches:
-            for doc, text, repeats in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), batch.column("repeats").to_pylist(), strict=True):
-                h = hashes.of(text.split())
+            for doc, text, repeats in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), column_bytes(batch.column("repeats")), strict=True):
+                h = hashes.of((text or b"").split())
                 if len(h) < window:
                     continue
                 g, at = _selected(h, base, window)
                 own, starts = np.unique(grams(h, window), return_index=True)
-                keep = np.isin(g[at[starts]], np.frombuffer(b"".join(repeats), np.uint64))
+                keep = np.isin(g[at[starts]], np.frombuffer(repeats, np.uint64))
                 if keep.any() and questions.add(doc, own[keep], g[at[starts[keep]]]):
                     yield from questions.flush()
         yield from questions.flush()
@@ -174,11 +200,11 @@ def _cut(window: int, keep_text: bool):
         hashes = WordHashes()
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, windows in zip(column_bytes(batch.column("text")), batch.column("windows").to_pylist(), strict=True):
+            for text, windows in zip(column_bytes(batch.column("text")), column_bytes(batch.column("windows")), strict=True):
                 words = (text or b"").split()
                 removed = 0
                 if windows and len(words) >= window:
-                    starts = np.flatnonzero(np.isin(grams(hashes.of(words), window), np.frombuffer(b"".join(windows), np.uint64)))
+                    starts = np.flatnonzero(np.isin(grams(hashes.of(words), window), np.frombuffer(windows, np.uint64)))
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
@@ -205,12 +231,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -
     if window < 2:
         raise ValueError("a window has two words at least")
     base, buckets = (window + 1) // 2, shuffle_partitions(docs.sparkSession) * BUCKETS
-    texts = docs.select("doc_id", "text")
-    usable = texts.where("text is not null and doc_id is not null")
-    seen = _exchange(usable.mapInArrow(_first_level(base, window, buckets), _ROW), False, "repeats")
-    back = texts.join(seen.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "repeats")
-    found = _exchange(back.where("text is not null").mapInArrow(_second_level(base, window, buckets), _ROW), True, "windows")
-    judged = texts.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left")
+    # the same exchange of texts serves both joins: the key is never null, so no filter tells them apart
+    texts = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NOBODY)).alias("d"))
+    seen = _exchange(texts.select("doc_id", "text").mapInArrow(_first_level(base, window, buckets), _ROW), False, "repeats")
+    back = texts.join(seen.hint("shuffle_hash"), "d").select("doc_id", "text", "repeats")
+    found = _exchange(back.mapInArrow(_second_level(base, window, buckets), _ROW), True, "windows")
+    judged = texts.join(found.hint("shuffle_hash"), "d", "left")
     kind = "binary" if keep_text else "string"
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     done = judged.select("doc_id", "text", "windows").mapInArrow(_cut(window, keep_text), f"doc_id {id_kind}, n_words long, n_removed long, kept {kind}")

@@ -43,7 +43,7 @@ def luhn(digits):
 
 
 def brute_personal(t):
-    found = [(m.start(), 0, m.end()) for m in re.finditer(r"(?<![A-Za-z0-9._%+-]{9})[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         digits = re.sub("[^0-9]", "", m[0])
@@ -98,10 +98,7 @@ def test_personal_data(spark, odd_clashing, documents, empty):
     for docs in (odd_clashing, documents, more):
         expected = []
         for i, t in rows(docs.select("doc_id", "text")):
-            base = brute_personal(t or "") if t is None or "a" * 5000 not in t else None
-            if base is None:  # long runs, where plain patterns take quadratic time, are checked in parts
-                base = brute_personal(t.replace("a" * 5000, "b" * 3))
-                base = [(s + 4997 * (s > 5060), k, e + 4997 * (s > 5060)) for s, k, e in base]
+            base = brute_personal(t or "")
             n = Counter(k for _, k, _ in base)
             expected.append((i, *(n[k] for k in range(4)), hashlib.sha256(text_of(base, names).encode()).hexdigest()))
         found = rows(find_personal_data(docs))
