@@ -3,7 +3,7 @@
 A document is contaminated by an item if one of its windows of the item's size (cut short at
 the end of the document) is within the item's edit distance, counted in words. Three steps
 find these windows. A q-gram bound, which no such window can miss, leaves the windows with
-enough word pairs of the benchmark. They and the items are embedded by random walks (CGK: read
+enough word triples of one item. They and the items are embedded by random walks (CGK: read
 the word under the pointer, move on by a random bit that depends on step and word), which turn edit
 distance into Hamming distance; sampled places of the embeddings are the keys of repeated hash
 tables. Windows and items with an equal key are compared exactly.
@@ -25,8 +25,8 @@ EDITS, LEAST_WORDS = 0.2, 8
 WALKS, TABLES, PLACES = 16, 64, 6
 #: Items that one pass takes (about 1 KB each in every task); a larger benchmark takes several passes.
 BLOCK = 20_000
-#: Windows embedded at once.
-CHUNK = 2048
+#: Windows embedded at once, and words (of whole texts) looked through at once.
+CHUNK, RUN = 2048, 200_000
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 HITS = "doc_id long, item_id long, start_word int, n_words int, distance int"
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xA24BAED4963EE407)]
@@ -67,10 +67,12 @@ def embed(ids: np.ndarray, at: np.ndarray, size: np.ndarray, steps: int) -> np.n
     return out
 
 
+_SAMPLED = np.random.default_rng(11).random((TABLES, PLACES))
+
+
 def _signatures(ids: np.ndarray, at: np.ndarray, size: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Keys (TABLES, windows). ``classes``: the item size of each window, which scales the sampled places."""
-    rng = np.random.default_rng(11)
-    places, out = rng.random((TABLES, PLACES)), np.empty((TABLES, len(at)), np.uint64)
+    out = np.empty((TABLES, len(at)), np.uint64)
     for a in range(0, len(at), CHUNK):
         cut = slice(a, a + CHUNK)
         n = classes[cut]
@@ -80,7 +82,7 @@ def _signatures(ids: np.ndarray, at: np.ndarray, size: np.ndarray, classes: np.n
             for t in range(TABLES):
                 key = n.astype(np.uint64)
                 for p in range(PLACES):
-                    read = embedded[(places[t, p] * 3 * n).astype(np.int64), t % WALKS, windows]
+                    read = embedded[(_SAMPLED[t, p] * 3 * n).astype(np.int64), t % WALKS, windows]
                     key = mix(key * _C[0] + (read + 2).astype(np.uint64))
                 out[t, cut] = key
     return out
@@ -97,6 +99,12 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[np.arange(len(a)), (b >= 0).sum(1)]
 
 
+def _member(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands in the sorted ``known``, and whether it does."""
+    at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+    return at, known[at] == values if len(known) else np.zeros(len(values), bool)
+
+
 class Index:
     """The items of one block, as arrays."""
 
@@ -108,6 +116,7 @@ class Index:
             if len(own) >= least_words:
                 words.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own])
                 self.item_ids.append(item_id)
+        self.edits = edits
         self.size = np.array([len(w) for w in words], np.int64)
         self.most = np.floor(self.size * edits + 1e-9).astype(np.int64)
         self.ids = np.array([x for w in words for x in w] + [0], np.int64)
@@ -115,37 +124,59 @@ class Index:
         self.base = len(self.vocabulary) + 1
         pairs = [x * self.base + y for w in words for x, y in zip(w, w[1:], strict=False)]
         self.pairs = np.unique(np.array(pairs, np.int64))
-        self.classes = {int(n): int(n * edits + 1e-9) for n in np.unique(self.size)}
+        triples = sorted({(x * self.base + y, z, i) for i, w in enumerate(words) for x, y, z in zip(w, w[1:], w[2:], strict=False)})
+        pair, last, self.item_of = np.array(triples, np.int64).reshape(-1, 3).T
+        self.triples, self.first_of = np.unique(np.searchsorted(self.pairs, pair) * self.base + last, return_index=True)
+        self.end_of = np.append(self.first_of[1:], len(triples))
         keys = _signatures(self.ids, self.at, self.size, self.size) if words else np.empty((TABLES, 0), np.uint64)
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
 
     def candidates(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Windows that pass the q-gram bound: place, size, item size, document number."""
+        """Windows that pass the q-gram bound: place, size, item size, document number.
+
+        Within k edits of an item of n words, a window has n - 2 - 3 k places of word triples of that item."""
         doc = np.repeat(np.arange(len(starts)), ends - starts)
-        code = ids[:-1] * self.base + ids[1:]
-        may = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & (doc[:-1] == doc[1:]))
-        found = np.searchsorted(self.pairs, code[may])
-        known = np.zeros(len(ids), np.int32)
-        known[may[self.pairs[np.minimum(found, len(self.pairs) - 1)] == code[may]]] = 1
-        upto = np.concatenate([[0], np.cumsum(known)])
-        places, sizes = [], []
-        for n, k in self.classes.items():
-            end = np.minimum(np.arange(len(ids)) + n - 1, len(ids))
-            own = np.flatnonzero(upto[end] - upto[:-1] >= n - 1 - 2 * k)
-            places.append(own)
-            sizes.append(np.full(len(own), n))
+        may = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0) & (doc[:-2] == doc[2:]))
+        pair, known = _member(self.pairs, ids[may] * self.base + ids[may + 1])
+        may, pair = may[known], pair[known]
+        triple, known = _member(self.triples, pair * self.base + ids[may + 2])
+        may, triple = may[known], triple[known]
+        times = self.end_of[triple] - self.first_of[triple]
+        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item, place = self.item_of[np.repeat(self.first_of[triple], times) + inner], np.repeat(may, times)
+        group = doc[place] * len(self.size) + item
+        order = np.lexsort((place, group))
+        group, place, item = group[order], place[order], item[order]
+        n = self.size[item]
+        last = np.arange(len(place)) + np.maximum(n - 2 - 3 * self.most[item], 1) - 1
+        inside = np.minimum(last, len(place) - 1)
+        dense = np.flatnonzero((last < len(place)) & (group[inside] == group) & (place[inside] - place <= n - 3))
+        low = np.maximum(place[inside[dense]] - (n[dense] - 3), starts[doc[place[dense]]])
+        high, n = place[dense], n[dense]
+        places, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for m in np.unique(n).tolist():
+            own = n == m
+            edge = np.bincount(low[own], minlength=len(ids) + 1) - np.bincount(high[own] + 1, minlength=len(ids) + 1)
+            found = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            places.append(found)
+            sizes.append(np.full(len(found), m))
         at, n = np.concatenate(places), np.concatenate(sizes)
         size = np.minimum(n, ends[doc[at]] - at)
-        keep = size >= n - np.floor(n * EDITS + 1e-9)
+        keep = size >= n - np.floor(n * self.edits + 1e-9)
         return at[keep], size[keep], n[keep], doc[at[keep]]
 
     def hits(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document number, item number, start, words, distance) of the closest window, the first if there
         are several, of each pair."""
-        at, size, n, doc = self.candidates(ids, starts, ends)
-        if not len(at):
-            return []
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        windows = self.candidates(ids, starts, ends)
+        for a in range(0, len(windows[0]), CHUNK):
+            self._compare(ids, starts, *(x[a : a + CHUNK] for x in windows), best)
+        return [(d, i, s, m, k) for (d, i), (k, s, m) in sorted(best.items())]
+
+    def _compare(self, ids, starts, at, size, n, doc, best) -> None:
+        """Update ``best`` by the items that share a key with some of the windows."""
         keys, pairs = _signatures(ids, at, size, n), []
         for t in range(TABLES):
             left, right = np.searchsorted(self.keys[t], keys[t]), np.searchsorted(self.keys[t], keys[t], "right")
@@ -158,7 +189,6 @@ class Index:
         w, item = pairs // len(self.size), pairs % len(self.size)
         same = self.size[item] == n[w]
         w, item = w[same], item[same]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for m in np.unique(n[w]).tolist():
             own = np.flatnonzero(n[w] == m)
             for a in range(0, len(own), CHUNK):
@@ -170,20 +200,24 @@ class Index:
                     pair = (int(doc[x[i]]), int(y[i]))
                     found = (int(distance[i]), int(at[x[i]] - starts[pair[0]]), int(size[x[i]]))
                     best[pair] = min(best.get(pair, found), found)
-        return [(d, i, s, m, k) for (d, i), (k, s, m) in sorted(best.items())]
 
 
 def _batch_hits(index: Index, ids_of: _Ids, texts: list) -> list[tuple[int, int, int, int, int]]:
-    rows = []
-    for text in texts:
+    """Hits of a batch of texts, taken up in runs of bounded size."""
+    out: list[tuple[int, int, int, int, int]] = []
+    rows: list[np.ndarray] = []
+    first, size = 0, 0
+    for i, text in enumerate(texts if len(index.size) else []):
         words = (text or b"").split()
         own = np.fromiter(map(ids_of.__getitem__, words), np.int64, len(words))
         rows.append(own[own >= 0])
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    if not sizes.sum() or not len(index.size):
-        return []
-    ends = np.cumsum(sizes)
-    return index.hits(np.concatenate(rows), ends - sizes, ends)
+        size += len(rows[-1])
+        if size and (size >= RUN or i == len(texts) - 1):
+            ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+            hits = index.hits(np.concatenate(rows), np.concatenate([[0], ends[:-1]]), ends)
+            out += [(first + h[0], *h[1:]) for h in hits]
+            rows, first, size = [], i + 1, 0
+    return out
 
 
 def _find(items: list):
