@@ -1,7 +1,7 @@
 """Personal data (native: SQL functions only on the main path).
 
 Base detectors find e-mail addresses, IP addresses, card numbers and phone numbers. On top of
-them works an information-theoretic sanitiser: over the distinct texts of the corpus it counts
+them works an information-theoretic sanitiser: over all documents of the corpus it counts
 how often a term stands together with a protected entity. With IC(e) = -log2 p(e) the
 information that an entity carries and PMI(e, t) = log2 p(e, t) / (p(e) p(t)) what a term tells
 about it, a term whose PMI reaches the disclosure share of IC reveals the entity, and its
@@ -108,25 +108,28 @@ def _lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def disclosing_terms(keyed: DataFrame, base: DataFrame, n_texts: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """Rows (k1, k2, term): the terms that reveal an entity of that text."""
+def disclosing_terms(keyed: DataFrame, keys: DataFrame, base: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """Rows (k1, k2, term): the terms that reveal an entity of that text.
+
+    Probabilities are shares of all documents; support is counted in distinct texts, so that copies of
+    one text lend none to each other."""
+    n_docs = F.lit(float(max(1, keys.count())))
     entities = base.select("k1", "k2", F.xxhash64("kind", F.lower("match")).alias("e")).distinct()
-    frequent = entities.groupBy("e").agg(F.count(F.lit(1)).alias("e_texts")).where(F.col("e_texts") >= support)
-    entities = checkpoint(entities.join(frequent, "e"))
+    frequent = entities.groupBy("e").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("e")
+    copies = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    entities = checkpoint(entities.join(frequent, "e").join(copies, ["k1", "k2"]))
+    e_docs = entities.groupBy("e").agg(F.sum("copies").alias("e_docs"))
     words = F.array_distinct(F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)))
     exposed = _may_match(keyed).join(entities.select("k1", "k2").distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi")
     near = checkpoint(exposed.select("k1", "k2", F.explode(words).alias("term")).distinct())
-    pairs = near.join(entities, ["k1", "k2"]).groupBy("e", "e_texts", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    ic = -F.log2(F.col("e_texts") / n_texts)
-    # before the corpus is counted: a term is in at least ``both`` texts, so this is the most that PMI can be
-    most = F.log2(F.lit(float(n_texts)) / F.col("e_texts"))
-    pairs = checkpoint(pairs.where((ic > 0) & (most >= disclosure * ic)))
+    pairs = near.join(entities, ["k1", "k2"]).groupBy("e", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
+    ic = -F.log2(F.col("e_docs") / n_docs)
+    pairs = checkpoint(pairs.where(F.col("texts") >= support).join(e_docs, "e").where(ic > 0))
     terms = pairs.select("term").distinct()
     if terms.count() <= BROADCAST_TERMS:  # a bounded table; beyond it the words are shuffled
         terms = F.broadcast(terms)
-    corpus = keyed.select("k1", "k2", F.explode(words).alias("term"))
-    counted = corpus.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("t_texts"))
-    pmi = F.log2(F.col("both") * F.lit(float(n_texts)) / (F.col("e_texts") * F.col("t_texts")))
+    counted = keyed.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
+    pmi = F.log2(F.col("both") * n_docs / (F.col("e_docs") * F.col("t_docs")))
     revealing = pairs.join(counted, "term").where(pmi >= disclosure * ic).select("e", "term")
     return near.join(entities.select("k1", "k2", "e"), ["k1", "k2"]).join(revealing, ["e", "term"], "left_semi").select("k1", "k2", "term").distinct()
 
@@ -134,13 +137,11 @@ def disclosing_terms(keyed: DataFrame, base: DataFrame, n_texts: int, support: i
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    A null text is an empty one; copies and repeated rows get equal spans and count once in the
-    corpus; terms that touch a base span add nothing; an empty table gives no rows."""
+    A null text is an empty one; copies and repeated rows get equal spans; terms that touch a base span add nothing; an empty table gives no rows."""
     keyed = _keyed(docs)
     keys = checkpoint(keyed.select("doc_id", "k1", "k2"))
-    n_texts = max(1, keys.select("k1", "k2").distinct().count())
     base = checkpoint(base_matches(keyed))
-    terms = checkpoint(disclosing_terms(keyed, base, n_texts, support, disclosure))
+    terms = checkpoint(disclosing_terms(keyed, keys, base, support, disclosure))
     texts = _may_match(keyed).join(terms.select("k1", "k2").distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi").select("k1", "k2", _lower(F.col("text")).alias("text"))
     places = located(texts, {4: (TERM, F.lit(True))}, ["k1", "k2"]).join(terms.withColumnRenamed("term", "match"), ["k1", "k2", "match"], "left_semi")
     span = F.struct("start", "kind", "end")

@@ -115,16 +115,17 @@ def test_terms_that_disclose_an_entity(spark):
     docs += [(100, docs[0][1]), (101, "Schmidtke allein"), (102, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = {r["doc_id"]: r["spans"] for r in find_personal_data(df).collect()}
-    texts = {t for _, t in docs}
-    n = len({t or "" for t in texts})
-    terms = defaultdict(set)
-    for t in {t or "" for t in texts}:
-        for w in set(re.findall(r"[^\W\d_]{3,}", t.lower())):
-            terms[w].add(t)
+    n, texts = len(docs), {t for _, t in docs}
+    terms, term_texts = Counter(), defaultdict(set)
+    for _, t in docs:
+        for w in set(re.findall(r"[^\W\d_]{3,}", (t or "").lower())):
+            terms[w] += 1
+            term_texts[w].add(t)
     exposed = {t for t in texts if t and "anna@firma.de" in t}
-    ic = -log2(len(exposed) / n)
-    revealing = {w for w, ts in terms.items() if len(ts & exposed) >= 3 and log2(len(ts & exposed) * n / (len(exposed) * len(ts))) >= 0.9 * ic}
-    assert "schmidtke" in revealing or len(terms["schmidtke"]) > len(exposed)
+    together = {w: sum(t in exposed and t in ts for _, t in docs) for w, ts in term_texts.items()}
+    n_exposed = sum(t in exposed for _, t in docs)
+    ic = -log2(n_exposed / n)
+    revealing = {w for w, ts in term_texts.items() if len(ts & exposed) >= 3 and log2(together[w] * n / (n_exposed * terms[w])) >= 0.9 * ic}
     assert "garten" not in revealing and {"frau", "schreibt", "von"} <= revealing
     for i, t in docs:
         spans = [x.split(":") for x in found[i].split(",") if x]
