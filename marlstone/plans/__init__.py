@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ranking_queries  # noqa: F401
+from . import ranking_queries, stats_queries  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES
 
 
