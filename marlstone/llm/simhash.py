@@ -164,7 +164,8 @@ def link_fingerprints(fps: DataFrame, tables: list[np.ndarray], most: int, part:
     component's id is its smallest doc_id."""
     distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
     known = distinct.where("id is not null")
-    keys = checkpoint(known.mapInArrow(_keys(tables), "key long, id long"))
+    # computed twice rather than kept: the keys are many times the fingerprints
+    keys = known.mapInArrow(_keys(tables), "key long, id long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / part).cast("int")
     dealt = keys.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int"))
@@ -193,9 +194,17 @@ def simhash_components(docs: DataFrame, k: int = 4, most: int = 4, blocks: int =
 
 #: Near-duplicates of five-word shingles with a similarity of 0.8 or more: for a Jaccard similarity J
 #: the angle of the shingle counts is acos(2J / (1 + J)), so 0.8 is 15.1 % of differing bits.
-#: 64 bits cannot tell 0.8 from chance; 1,024 can (standard deviation 1.1 %), and 80 blocks of 20
-#: bits find 95 % of the pairs at 0.8 and all but a few of a thousand at 0.85.
-WIDE = {"k": 5, "bits": 1024, "width": 20, "tables": 80, "share": 0.16}
+#: 64 bits cannot tell 0.8 from chance; 1,024 can (standard deviation 1.1 %). 150 blocks of 24
+#: bits find 95 % of the pairs at 0.8 and nearly all at 0.85. Chance collisions grow with the square
+#: of the documents over 2^width; ``wide_for`` gives the width and number of blocks for larger corpora.
+WIDE = {"k": 5, "bits": 1024, "width": 24, "tables": 150, "share": 0.16}
+
+
+def wide_for(n_docs: int, recall: float = 0.95) -> dict:
+    """Parameters that keep chance collisions below one in 64 rows of a table."""
+    width = max(24, n_docs.bit_length() + 6)
+    agree = (1 - 0.1514) ** width
+    return WIDE | {"width": width, "tables": int(np.ceil(np.log(1 - recall) / np.log1p(-agree)))}
 
 
 def drop_near_duplicates(docs: DataFrame, wide: dict = WIDE) -> DataFrame:
