@@ -18,6 +18,8 @@ from .common import checkpoint, word_count
 BITS, LEVELS = 10, 3
 #: No document is taken more often than this.
 MOST_COPIES = 3
+#: Sources whose plan is broadcast, at most (about 100 bytes each).
+BROADCAST_SOURCES = 50_000
 
 
 def place(doc_id: Column, text: Column) -> Column:
@@ -68,6 +70,13 @@ def mix_plan(sizes: DataFrame) -> DataFrame:
     return plan.drop("left")
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame, key: Column) -> DataFrame:
+    """Join each row to its source's plan; a plan of bounded size is broadcast, so no row moves."""
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    return rows.join(plan, F.col("source").eqNullSafe(key))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text")).alias("place"))
 
@@ -83,7 +92,7 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     are taken or left together, and an empty table gives no rows."""
     sizes = checkpoint(sized(docs))
     plan = mix_plan(sizes).withColumnRenamed("source", "s")
-    joined = sizes.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    joined = _with_plan(sizes, plan, F.col("s"))
     taken = F.col("size") * taken_copies(F.col("place"), F.col("copies"), F.col("threshold"))
     return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -92,6 +101,6 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with their own columns."""
     sizes = checkpoint(sized(docs).select("source", "size", "place"))
     plan = mix_plan(sizes).select(F.struct("source", "copies", "threshold").alias("__plan"))
-    joined = docs.withColumn("__place", place(F.col("doc_id"), F.col("text"))).join(plan, F.col("source").eqNullSafe(F.col("__plan.source")))
+    joined = _with_plan(docs.withColumn("__place", place(F.col("doc_id"), F.col("text"))), plan, F.col("__plan.source"))
     times = taken_copies(F.col("__place"), F.col("__plan.copies"), F.col("__plan.threshold")).cast("int")
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
