@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 
@@ -47,17 +48,33 @@ def word_count(text: Column) -> Column:
     return F.coalesce(n.cast("long") - blank_start - blank_end, F.lit(0).cast("long"))
 
 
+def _binary(column: pa.Array) -> pa.Array:
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return column
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+
+
 def column_bytes(column: pa.Array) -> list:
     """Bytes of each row of a string or binary column; None for null."""
-    if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
-        column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
-    return column.to_pylist()
+    return _binary(column).to_pylist()
+
+
+def each_bytes(column: pa.Array):
+    """The same, one at a time: long texts are not copied all at once."""
+    return (x.as_py() for x in _binary(column))
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Python workers live on between tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, filled on demand and emptied when it grows past ``most``."""
 
-    most = 400_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -22,10 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column_bytes, grams, shuffle_partitions
+from .common import WordHashes, each_bytes, give_back, grams, shuffle_partitions
 
 #: Questions that a task gathers before it sends them, and buckets for each shuffle partition.
-GATHER, BUCKETS = 1_000_000, 2
+GATHER, BUCKETS = 250_000, 2
 #: Stands for a null doc_id where rows are dealt out; no answer has it.
 NOBODY = -(1 << 63)
 #: Packed hashes and their documents (as differences). A question goes to the bucket of its hash and has a
@@ -125,6 +125,8 @@ def _reply(buckets: int, earlier: bool):
             several[group[found | flag]] = True
             found = several[group]
         yield from _batches(_answers(doc[found], h[found], buckets))
+        del h, doc, flag, order, start, group, found
+        give_back()
 
     return run
 
@@ -142,6 +144,8 @@ def _by_document(batches):
         some = slice(i, i + 10_000)
         packed = [h[s:e].tobytes() for s, e in zip(cuts[some].tolist(), ends[some].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[some]]), pa.array(packed, pa.binary())], names=["doc", "hashes"])
+    del h, doc, order, cuts, ends
+    give_back()
 
 
 def _exchange(questions: DataFrame, earlier: bool, name: str) -> DataFrame:
@@ -164,7 +168,7 @@ def _first_level(base: int, window: int, buckets: int):
     def run(batches):
         hashes, questions = WordHashes(), Questions(buckets, earlier=False)
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), strict=True):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), each_bytes(batch.column("text")), strict=True):
                 words = (text or b"").split()
                 if doc is None or len(words) < window:
                     continue
@@ -173,6 +177,7 @@ def _first_level(base: int, window: int, buckets: int):
                 if questions.add(doc, own, own):
                     yield from questions.flush()
         yield from questions.flush()
+        give_back()
 
     return run
 
@@ -181,7 +186,7 @@ def _second_level(base: int, window: int, buckets: int):
     def run(batches):
         hashes, questions = WordHashes(), Questions(buckets, earlier=True)
         for batch in batches:
-            for doc, text, repeats in zip(batch.column("doc_id").to_pylist(), column_bytes(batch.column("text")), column_bytes(batch.column("repeats")), strict=True):
+            for doc, text, repeats in zip(batch.column("doc_id").to_pylist(), each_bytes(batch.column("text")), each_bytes(batch.column("repeats")), strict=True):
                 h = hashes.of((text or b"").split())
                 if len(h) < window:
                     continue
@@ -191,6 +196,7 @@ def _second_level(base: int, window: int, buckets: int):
                 if keep.any() and questions.add(doc, own[keep], g[at[starts[keep]]]):
                     yield from questions.flush()
         yield from questions.flush()
+        give_back()
 
     return run
 
@@ -200,7 +206,7 @@ def _cut(window: int, keep_text: bool):
         hashes = WordHashes()
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, windows in zip(column_bytes(batch.column("text")), column_bytes(batch.column("windows")), strict=True):
+            for text, windows in zip(each_bytes(batch.column("text")), each_bytes(batch.column("windows")), strict=True):
                 words = (text or b"").split()
                 removed = 0
                 if windows and len(words) >= window:
@@ -217,6 +223,7 @@ def _cut(window: int, keep_text: bool):
                 kept.append(text if keep_text else hashlib.sha256(text).hexdigest())
             arrays = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary() if keep_text else pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept"])
+        give_back()
 
     return run
 
