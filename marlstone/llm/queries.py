@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .common import table
 from .decontaminate import find_contamination
 from .lang_id import identify_languages
 from .mixing import mix_digest
 from .pii import find_personal_data
-from .quality import quality_rules
+from .quality import HOST_SHARE, LEAST_TEXTS, MOST_REMOVED, quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import simhash_components
@@ -65,4 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_substring_dedup": sql.SUBSTRING_DEDUP,
+        "op5_warc": sql.WARC,
+        "op6_line_frequency": sql.line_frequency(LEAST_TEXTS, HOST_SHARE, MOST_REMOVED),
+    }
