@@ -78,10 +78,10 @@ def _path(spark, sf):
     return f.select("track_id", t.alias("t"), (F.col("value") / 100).alias("x"), (F.col("k") / 100).alias("y"))
 
 
-@query("SG-01 WK-15", f"with {_PATH} select track_id, round(sum(dx),8) s_x, round(sum(dy),8) s_y, round(sum(ax*dx+dx*dx/2),8) s_x_x, round(sum(ax*dy+dx*dy/2),8) s_x_y, round(sum(ay*dx+dy*dx/2),8) s_y_x, round(sum(ay*dy+dy*dy/2),8) s_y_y from acc group by track_id")
+@query("SG-01 WK-15", f"with {_PATH} select track_id, round(sum(dx),10) s_x, round(sum(dy),10) s_y, round(sum(ax*dx+dx*dx/2),10) s_x_x, round(sum(ax*dy+dx*dy/2),10) s_x_y, round(sum(ay*dx+dy*dx/2),10) s_y_x, round(sum(ay*dy+dy*dy/2),10) s_y_y from acc group by track_id")
 def path_signature_order2(spark, sf):
     s = G.signature_sql(_path(spark, sf), "track_id", ["t"], ["x", "y"], 2)
-    return s.select("track_id", *(F.round(c, 8).alias(c) for c in s.columns if c not in ("track_id", "s")))
+    return s.select("track_id", *(F.round(c, 10).alias(c) for c in s.columns if c not in ("track_id", "s")))
 
 
 @query("SG-03 SG-08 SG-09 SG-10 FN-07", f"with {_PATH} select track_id, 15 length, round(sum(dx),4) x, round(sum(ax*dy+dx*dy/2),4) xy, 3 arm_length from acc group by track_id")
