@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signature as G
 from ..operators import models as M
+from ..operators import population as N
 from ..operators import protocol as P
 from ..operators import ranking as R
 from ..operators import sampling as S
@@ -191,3 +192,18 @@ def pseudo_categories(spark, sf):
 @query("ML-17")
 def pca_embedding(spark, sf):
     return M.pca_2d(T.vectors(spark, sf))
+
+
+@query("SP-13 SRC-14 SNK-08")
+def synthetic_population(spark, sf):
+    return N.population(T.tracks(spark, sf), 200)[1]
+
+
+@query("SP-17")
+def population_violations(spark, sf):
+    return N.violations(*N.population(T.tracks(spark, sf), 200))
+
+
+@query("SP-18")
+def fallback_ratings(spark, sf):
+    return N.fallback_ratings(T.vectors(spark, sf), 50)
