@@ -142,7 +142,7 @@ def extract(files: DataFrame) -> DataFrame:
                 except ValueError as error:
                     rows.append({"path": path, "frames": 0, "reason_code": str(error)})
             columns = [x.split()[0] for x in OUT.split(", ")]
-            yield pd.DataFrame(rows, columns=columns).assign(frames=lambda d: d["frames"].astype("int32"))
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
 
     return files.select("path", "content").mapInPandas(run, OUT)
 

@@ -29,9 +29,16 @@ def hamilton_quota(spark, sf):
     return S.hamilton(_capacities(spark, sf), 777)
 
 
-@query("SP-04", f"with {_HAM.format(_CAP + ', r as (select genre, capacity-least(100,capacity) residual from cap where capacity>100)', 'residual', '(777-(select sum(least(100,capacity)) from cap))', 'r')} select c.genre, c.capacity, least(100,c.capacity) + coalesce(fl + (rn<=rest and fl<residual)::int, 0) quota from cap c left join o using (genre)")
+_BASE = "(select count(*)//20 from tracks)"
+_RESIDUAL = f"{_CAP}, r as (select genre, capacity-least({_BASE},capacity) residual from cap where capacity>{_BASE})"
+_LEFT = f"((select floor(0.39*count(*))::bigint from tracks)-(select sum(least({_BASE},capacity)) from cap))"
+
+
+@query("SP-04", f"with {_HAM.format(_RESIDUAL, 'residual', _LEFT, 'r')} select c.genre, c.capacity, least({_BASE},c.capacity) + coalesce(fl + (rn<=rest and fl<residual)::int, 0) quota from cap c left join o using (genre)")
 def genre_quotas(spark, sf):
-    return S.genre_quotas(_capacities(spark, sf), 777)
+    """39 % of the catalogue, a twentieth of it for each genre first."""
+    n = T.tracks(spark, sf).count()
+    return S.genre_quotas(_capacities(spark, sf), int(0.39 * n), n // 20)
 
 
 _QUOTA = "q as (select genre, least(count(*),120) quota from tracks group by genre), good as (select t.track_id, t.genre, quota, row_number() over (partition by t.genre order by sha256('42:' || t.genre || ':' || t.track_id), t.track_id) nth from tracks t join q using (genre) where duration%5<>0 and not (t.genre='PROMO' and duration>20)), p as (select *, nth<=quota pr from good), w as (select (select sum(quota) from q) - (select count(*) from p where pr) missing), a as (select *, row_number() over (partition by pr order by sha256('42:global:' || track_id), track_id) place from p)"
