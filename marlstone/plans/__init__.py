@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import function_queries, inference_queries, model_queries, ranking_queries, stats_queries  # noqa: F401
+from . import file_queries, function_queries, inference_queries, model_queries, ranking_queries, stats_queries  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES
 
 

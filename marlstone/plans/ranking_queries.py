@@ -326,7 +326,7 @@ def overlap_report(spark, sf):
     return lists.select("user_id", *(F.size(c).cast("long").alias(n) for c, n in (("a", "n_train"), ("b", "n_test"))), F.size(F.array_intersect("a", "b")).cast("long").alias("overlap"))
 
 
-@query("MT-22", f"with {RANKED}, f as (select query_id, sum((query_genre=genre)::int)/5 p from top10 where rank<=5 group by query_id having count(distinct track_id)=5) select round(avg(p),6) mean_p5, count(*) users from f")
+@query("MT-22 ST-03", f"with {RANKED}, f as (select query_id, sum((query_genre=genre)::int)/5 p from top10 where rank<=5 group by query_id having count(distinct track_id)=5) select round(avg(p),6) mean_p5, count(*) users from f")
 def mean_precision_5(spark, sf):
     v, top = _top10(spark, sf)
     lists = top.where("rank <= 5").groupBy("user_id").agg(F.collect_set("track_id").alias("recs"))

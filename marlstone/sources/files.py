@@ -29,9 +29,10 @@ def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.col("track_id").rlike("^[0-9]+$")).withColumn("duration", F.expr("try_cast(duration as double)"))
 
 
-def selected_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Version 2 track file, one row per track; another version or repeated ids are an error."""
-    file = spark.read.schema(TRACK_FILE).option("multiLine", True).json(path)
+def selected_tracks(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Version 2 track files (one document per file, or per line), one row per track; another version or
+    repeated ids are an error."""
+    file = spark.read.schema(TRACK_FILE).option("multiLine", one_per_file).json(path)
     good = F.when((F.col("schema_version") == 2), True).otherwise(F.raise_error(F.lit("schema_version must be 2")).cast("boolean"))
     rows = file.where(good).select(F.explode("tracks").alias("t")).select("t.*")
     n = F.count(F.lit(1)).over(Window.partitionBy("track_id"))
@@ -68,6 +69,11 @@ def json_map(spark: SparkSession, path: str, value_type: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("key", "value"))
 
 
+def json_maps(spark: SparkSession, path: str, value_type: str) -> DataFrame:
+    """The same for a file with one object per line."""
+    return spark.read.text(path).select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("key", "value"))
+
+
 def similarity_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a similarity table (a, b, score), each a Parquet folder below ``path``."""
     return spark.read.option("recursiveFileLookup", True).schema("a string, b string, score double").parquet(path)
