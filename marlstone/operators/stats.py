@@ -18,18 +18,18 @@ def moments(long: DataFrame, sample: bool) -> DataFrame:
     excess; null for a constant)."""
     x = F.col("value")
     varied = F.stddev_pop(x) > 0
-    return long.groupBy("feature").agg(
+    # the three quartiles share one count of values
+    one = long.groupBy("feature").agg(
         F.count(x).alias("n"),
         F.avg(x).alias("mean"),
         (F.stddev_samp(x) if sample else F.stddev_pop(x)).alias("std"),
         F.min(x).alias("min"),
-        F.percentile(x, F.lit(0.25)).alias("q1"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
-        F.percentile(x, F.lit(0.75)).alias("q3"),
+        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"),
         F.max(x).alias("max"),
         F.when(varied, F.skewness(x)).alias("skew"),
         F.when(varied, F.kurtosis(x)).alias("kurtosis"),
     )
+    return one.select("feature", "n", "mean", "std", "min", *(F.col("__q")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))), "max", "skew", "kurtosis")
 
 
 def outliers(long: DataFrame) -> DataFrame:
