@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .protocol import hash_order
+from .protocol import hash_order, positions
 
 #: Archetype, share of users, engagement, diversity, novelty, popularity bias, genres.
 ARCHETYPES = [
@@ -41,7 +41,7 @@ def population(tracks: DataFrame, n_users: int, per_user: int = 30, seed: int =
     # every user looks at a bounded hash sample of the catalogue, enough to choose from
     n = tracks.count()
     look = min(n, 20 * per_user)
-    indexed = tracks.select("track_id", "genre", "artist").withColumn("ix", F.row_number().over(Window.partitionBy().orderBy("track_id")) - 1)
+    indexed = positions(tracks.select("track_id", "genre", "artist"), F.col("track_id"), name="ix").withColumn("ix", F.col("ix").cast("int"))
     seen = users.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(look - 1))))
     seen = seen.withColumn("ix", F.floor(uniform(seed, F.col("user_id"), F.lit("look"), F.col("k")) * n).cast("int"))
     pool = seen.join(indexed, "ix").join(F.broadcast(shares.select("genre", "popularity")), "genre").dropDuplicates(["user_id", "track_id"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint
 from .ranking import first_by
 
 SEED, TEST_SHARE = 42, 0.15
@@ -27,13 +28,21 @@ def hash_order(seed: int, *parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256)
 
 
+def positions(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """Adds dense positions from 0 in the given order. Ranges of the order are numbered apart and only their
+    counts meet in one task, so no task holds the table."""
+    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    ranged = checkpoint(ranged)  # the ranges are drawn once, for rows and counts alike
+    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    nth = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return ranged.withColumn("__nth", nth).join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__nth")).drop("__p", "__nth", "__start")
+
+
 def index_map(ids: DataFrame, column: str) -> DataFrame:
-    """Dense positions from 0 in code-point order. Ranges are sorted and numbered apart; only their counts meet."""
-    ordered = ids.select(column).distinct().repartitionByRange(column).withColumn("__p", F.spark_partition_id())
-    counts = ordered.groupBy("__p").count()
-    starts = counts.select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
-    return ordered.withColumn("nth", nth).join(starts, "__p").select(column, (F.col("start") + F.col("nth")).alias("position"))
+    """Dense positions from 0 in code-point order."""
+    return positions(ids.select(column).distinct(), F.col(column))
 
 
 def hash_split(interactions: DataFrame, seed: int = SEED, share: float = TEST_SHARE) -> DataFrame:
@@ -62,8 +71,8 @@ def unobserved_topk(scored_items: DataFrame, observed: DataFrame, k: int) -> Dat
 
     A user with n observed items finds them among the first n + k of the common ranking, so those
     ranks are joined and nothing else."""
-    order = Window.orderBy(F.desc("score"), F.asc("track_id"))
-    ranked = scored_items.select("track_id", "score", F.row_number().over(order).alias("place"))
+    ranked = positions(scored_items.select("track_id", "score"), F.desc("score"), F.asc("track_id"), name="place")
+    ranked = ranked.withColumn("place", (F.col("place") + 1).cast("int"))
     need = observed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     places = need.select("user_id", F.explode(F.sequence(F.lit(1), (F.col("n") + k).cast("int"))).alias("place"))
     open_ = places.join(ranked, "place").join(observed.select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")

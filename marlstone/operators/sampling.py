@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .protocol import hash_order
+from .protocol import hash_order, positions
 
 
 def hamilton(capacities: DataFrame, places: int, name: str = "genre", capacity: str = "capacity") -> DataFrame:
@@ -65,9 +65,9 @@ def stratified_folds(rows: DataFrame, label: str, item: str, k: int, seed: int =
 
 def shuffled_folds(rows: DataFrame, item: str, k: int, seed: int = 42) -> DataFrame:
     """Equal folds in hash order; the last takes the remainder."""
-    place = F.row_number().over(Window.partitionBy().orderBy(hash_order(seed, F.col(item)), item)) - 1
-    size = F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / k)
-    return rows.withColumn("fold", F.least(F.floor(place / size), F.lit(k - 1)).cast("long"))
+    placed = positions(rows, hash_order(seed, F.col(item)), F.col(item), name="__place")
+    size = max(1, rows.count() // k)
+    return placed.withColumn("fold", F.least(F.floor(F.col("__place") / size), F.lit(k - 1)).cast("long")).drop("__place")
 
 
 def time_split(rows: DataFrame, order: list, by: list[str], test_share: float = 0.2) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
 import unicodedata
 import uuid
 from collections.abc import Callable
@@ -13,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint, shared_dir
+
 
 def canonical_json(value) -> str:
     """Sorted keys, no spaces, NFC, finite numbers only."""
@@ -76,18 +76,14 @@ def split_failures(outcomes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the store that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = os.path.join(tempfile.gettempdir(), "marlstone-checkpoints")
-        spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def round_trip(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
     """What ``read`` gives of what ``write`` wrote; the files are gone afterwards."""
     path = scratch(spark)
     write(path)
-    out = read(path).checkpoint()
+    out = checkpoint(read(path))
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
