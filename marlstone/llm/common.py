@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -12,34 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone import ship
+from marlstone.storage import checkpoint, shared_dir  # noqa: F401  (for the modules beside)
 
 #: Words are separated by these ASCII characters and by nothing else; bytes.split() uses the same set.
 WHITESPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as it is scanned; one that is scanned in fewer parts than there are cores is dealt to all of
-    them (large tables never are)."""
+    """A table as it is scanned; one that would leave half of the cores idle is dealt to all of them."""
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "marlstone-checkpoints"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared folder (never a local checkpoint: executors may be lost)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

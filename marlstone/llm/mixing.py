@@ -47,6 +47,7 @@ def mix_plan(sizes: DataFrame) -> DataFrame:
     """Per source: ``source_size``, ``target``, whole ``copies`` of every row, and the ``threshold``
     below which a row is taken once more. ``sizes`` has source, size and place."""
     targets = checkpoint(_targets(sizes))
+    small = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda df: df
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     left = targets.withColumn("copies", whole).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
     plan = left.select("source", "source_size", "target", "copies", F.lit(0).cast("long").alias("threshold"), "left")
@@ -55,7 +56,7 @@ def mix_plan(sizes: DataFrame) -> DataFrame:
         cut = plan.select(F.col("source").alias("s"), F.col("threshold").alias("t"), "left")
         here = sizes.select("source", "size", F.shiftright("place", shift).alias("bucket"))
         inside = F.shiftright("bucket", BITS) == F.shiftright("t", shift + BITS)
-        bucket = here.join(cut, F.col("source").eqNullSafe(F.col("s")) & inside)
+        bucket = here.join(small(cut), F.col("source").eqNullSafe(F.col("s")) & inside)
         sums = bucket.groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
         upto = Window.partitionBy("source").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("size").over(upto))
