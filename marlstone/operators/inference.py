@@ -89,3 +89,13 @@ def bootstrap_interval(values: DataFrame, by: list[str], statistic: Column, n_dr
     draws = hash_draws(values, n_draws, seed)
     drawn = draws.join(values, "ix").groupBy(*by, "b").agg(statistic.alias("s"))
     return drawn.groupBy(*by).agg(F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
+
+
+def compare_models(diffs: DataFrame, by: list[str], test: str = "wilcoxon", correction: str | None = None) -> DataFrame:
+    """Paired comparison by ``test`` ("wilcoxon" or "t"). A correction is refused here: it needs the whole
+    family (``benjamini_hochberg``, ``bonferroni``), not one pair."""
+    if correction is not None:
+        raise ValueError("correct the whole family of comparisons, not single pairs")
+    if test not in ("wilcoxon", "t"):
+        raise ValueError(f"unknown test: {test}")
+    return (wilcoxon_pratt if test == "wilcoxon" else paired_t)(diffs, by)

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import checkpoint
+
 
 def unpivot(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Long form: keys, feature, value."""
@@ -18,18 +20,41 @@ def moments(long: DataFrame, sample: bool) -> DataFrame:
     excess; null for a constant)."""
     x = F.col("value")
     varied = F.stddev_pop(x) > 0
-    # the three quartiles share one count of values
     one = long.groupBy("feature").agg(
         F.count(x).alias("n"),
         F.avg(x).alias("mean"),
         (F.stddev_samp(x) if sample else F.stddev_pop(x)).alias("std"),
         F.min(x).alias("min"),
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"),
         F.max(x).alias("max"),
         F.when(varied, F.skewness(x)).alias("skew"),
         F.when(varied, F.kurtosis(x)).alias("kurtosis"),
     )
-    return one.select("feature", "n", "mean", "std", "min", *(F.col("__q")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))), "max", "skew", "kurtosis")
+    both = one.join(quantiles(long, [0.25, 0.5, 0.75]), "feature", "left")
+    return both.select("feature", "n", "mean", "std", "min", *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))), "max", "skew", "kurtosis")
+
+
+def quantiles(long: DataFrame, shares: list[float]) -> DataFrame:
+    """Exact linear quantiles per feature as an array q, in the order of ``shares``; nulls are left out.
+
+    Equal values are counted first, so one frequent value is one row; the distinct values are then dealt out
+    by ranges, and only the ranges' counts meet in one place."""
+    counts = long.where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    ranged = checkpoint(counts.repartitionByRange("feature", "value").withColumn("p", F.spark_partition_id()))
+    sums = ranged.groupBy("feature", "p").agg(F.sum("c").alias("s"))
+    upto = Window.partitionBy("feature").orderBy("p")
+    starts = sums.select("feature", "p", (F.sum("s").over(upto) - F.col("s")).alias("start"), F.sum("s").over(Window.partitionBy("feature")).alias("n"))
+    end = F.sum("c").over(Window.partitionBy("feature", "p").orderBy("value")) + F.col("start")
+    rows = ranged.join(F.broadcast(starts), ["feature", "p"]).withColumn("end", end)
+
+    def at(i):
+        return F.max(F.when((i >= F.col("end") - F.col("c")) & (i < F.col("end")), F.col("value")))
+
+    def one(share: float):
+        place = (F.col("n") - 1) * F.lit(share)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return rows.groupBy("feature").agg(F.array(*(one(s) for s in shares)).alias("q"))
 
 
 def outliers(long: DataFrame) -> DataFrame:

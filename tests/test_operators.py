@@ -153,6 +153,9 @@ def test_inference_known_cases(spark):
     w = inference.wilcoxon_pratt(d, ["g"]).head()
     assert (w["w_plus"], w["w_minus"]) == (19, 11)
     assert w["z"] == pytest.approx(-0.5819, abs=1e-4) and inference.normal_p(w["z"]) == pytest.approx(0.5606, abs=1e-4) and w["r"] == pytest.approx(0.2057, abs=1e-4)
+    assert inference.compare_models(d, ["g"]).head() == w
+    with pytest.raises(ValueError, match="family"):
+        inference.compare_models(d, ["g"], correction="bh")
     up = spark.createDataFrame([("z", x) for x in [-0.5] + [0.1] * 5], "g string, d double")
     assert inference.wilcoxon_pratt(up, ["g"]).head()["direction"] == 1
     flat = spark.createDataFrame([("same", 0.0)] * 3 + [("shift", 1.0)] * 3, "g string, d double")
