@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -43,35 +45,34 @@ def safe_unit(v: Column, least: float = 1e-8) -> Column:
     return F.when(n < least, v).otherwise(F.transform(v, lambda x: x / n))
 
 
-def _block_topk(k: int, ids: list[str], queries: np.ndarray):
-    """Best k of a partition's vectors for each query of the block; ties go to the smaller id."""
+def _block_topk(k: int, ids: list[str], queries: np.ndarray, tie: Callable):
+    """Best k of a partition's vectors for each query of the block; ties go by ``tie`` of the id."""
 
     def run(batches):
-        best: list[list[tuple[float, str]]] = [[] for _ in ids]
+        best: list[list[tuple]] = [[] for _ in ids]
         for batch in batches:
             if not batch.num_rows:
                 continue
             names = batch.column("track_id").to_pylist()
-            matrix = np.array(batch.column("vec").to_pylist(), np.float64)
-            order = np.argsort(np.array(names, object), kind="stable")
-            names, matrix = [names[i] for i in order], matrix[order]
-            matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+            matrix = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
+            matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
             for a in range(0, len(names), BLOCK):
                 scores = np.round(queries @ matrix[a : a + BLOCK].T, 9)
                 most = min(k + 1, scores.shape[1])
                 cut = np.partition(scores, scores.shape[1] - most, axis=1)[:, -most]
                 for q, (row, least) in enumerate(zip(scores, cut, strict=True)):
-                    found = [(-row[i], names[a + i]) for i in np.flatnonzero(row >= least).tolist() if names[a + i] != ids[q]]
+                    found = [(-row[i], tie(names[a + i]), names[a + i]) for i in np.flatnonzero(row >= least).tolist() if names[a + i] != ids[q]]
                     best[q] = sorted(best[q] + found)[:k]
-        rows = [(ids[q], name, -float(s)) for q, own in enumerate(best) for s, name in own]
+        rows = [(ids[q], name, -float(s)) for q, own in enumerate(best) for s, _, name in own]
         columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["query_id", "track_id", "score"])
 
     return run
 
 
-def blocked_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
-    """Top k by cosine of each query among ``vectors`` (track_id, vec), the query itself left out.
+def blocked_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int | None = None, tie: Callable = str, ties: Column | None = None) -> DataFrame:
+    """Top k by cosine of each query among ``vectors`` (track_id, vec), the query itself left out. Equal
+    scores (to nine digits) go by id, or by ``tie`` of the id and the same rule as a column, ``ties``.
 
     The queries go out in blocks of bounded bytes. Each partition keeps its own best k per query,
     so what is shuffled is k rows per query and partition, never a pair of all with all."""
@@ -87,9 +88,9 @@ def blocked_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks:
             continue
         matrix = np.array([r["vec"] for r in rows], np.float64)
         matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        found = vectors.select("track_id", "vec").mapInArrow(_block_topk(k, [r["track_id"] for r in rows], matrix), "query_id string, track_id string, score double")
+        found = vectors.select("track_id", "vec").mapInArrow(_block_topk(k, [r["track_id"] for r in rows], matrix, tie), "query_id string, track_id string, score double")
         out = found if out is None else out.unionByName(found)
-    return rank_scores(out, ["query_id"], k)
+    return rank_scores(out, ["query_id"], k, ties=ties)
 
 
 def pair_scores(vectors: DataFrame, score: Column, ordered: bool = True) -> DataFrame:

@@ -172,17 +172,18 @@ def relevance_split(spark, sf):
 
 @query("WK-05", f"with {COSINE}, r as (select *, row_number() over (partition by query_id order by score desc, track_id::bigint) rank from scored) select query_id, track_id, rank from r where rank<=5")
 def engine_recommend(spark, sf):
-    """Ties keep the order of the input (here the number of the vector). Asks for more than five, so that ties at the cut are seen."""
+    """Ties keep the order of the input (here the number of the vector)."""
     v = T.vectors(spark, sf)
-    scored = R.blocked_cosine_topk(v, v, 25).drop("rank")
-    return R.rank_scores(scored, ["query_id"], 5, ties=F.col("track_id").cast("long").asc()).select("query_id", "track_id", F.col("rank").cast("long").alias("rank"))
+    top = R.blocked_cosine_topk(v, v, 5, tie=int, ties=F.col("track_id").cast("long").asc())
+    return top.select("query_id", "track_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("WK-06", f"with {COSINE}, r as (select *, row_number() over (partition by query_id order by score desc, track_id::bigint desc) rank from scored) select query_id, track_id, rank from r where rank<=5")
 def softmax_recommend(spark, sf):
+    """Ties go to the later vector."""
     v = T.vectors(spark, sf)
-    scored = R.blocked_cosine_topk(v, v, 25).drop("rank")
-    return R.rank_scores(scored, ["query_id"], 5, ties=F.col("track_id").cast("long").desc()).select("query_id", "track_id", F.col("rank").cast("long").alias("rank"))
+    top = R.blocked_cosine_topk(v, v, 5, tie=lambda name: -int(name), ties=F.col("track_id").cast("long").desc())
+    return top.select("query_id", "track_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("WK-07", f"with {UNIT}, s as (select a.track_id query_id, b.track_id, round(list_sum(list_transform(list_zip(a.u,b.u), lambda p: p[1]*p[2])),9) score from unit a, unit b), r as (select *, row_number() over (partition by query_id order by score desc, track_id) rank from s) select query_id, track_id, rank, round(score,6) score from r where rank<=5 and score>0")
