@@ -2,9 +2,9 @@
 
 Repeats are sought at a short length first; only windows repeated at one length are extended to
 twice that length (or to the wanted one), until the wanted length is reached or no candidate
-survives. A window of the wanted length holds ``LEVELS[0]``-word grams; the smallest of their
-hashes is the same in every copy of the window, so the first level asks about these grams only,
-about a quarter of all. The next level asks about the windows behind repeated grams.
+survives. A window of one level holds several grams of the level below; the one with the smallest
+hash is the same in every copy of the window, so each level asks about these grams only (7 words
+for 13: a quarter of all). The next level asks about the windows behind repeated grams.
 
 Each level is one exchange of packed arrays: a task sorts what it has hashed, keeps the first
 document of each hash and asks a bucket about it; the bucket answers with what other tasks
@@ -164,36 +164,36 @@ def _selected(h: np.ndarray, base: int, window: int) -> tuple[np.ndarray, np.nda
     return g, least + np.arange(len(least))
 
 
-def _first_level(base: int, window: int, buckets: int):
-    def run(batches):
-        hashes, questions = WordHashes(), Questions(buckets, earlier=False)
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), each_bytes(batch.column("text")), strict=True):
-                words = (text or b"").split()
-                if doc is None or len(words) < window:
-                    continue
-                g, at = _selected(hashes.of(words), base, window)
-                own = np.unique(g[np.unique(at)])
-                if questions.add(doc, own, own):
-                    yield from questions.flush()
-        yield from questions.flush()
-        give_back()
+def _ask(levels: list[int], i: int, buckets: int):
+    """Questions of level ``i``: about its grams that stand for the next level's windows (at the last level
+    about all its windows), as far as they hold a repeat of the level before."""
+    k, last = levels[i], i == len(levels) - 1
+
+    def candidates(h: np.ndarray, repeats: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        g = grams(h, k)
+        if last:
+            own, places = np.unique(g, return_index=True)
+        else:
+            places = np.unique(_selected(h, k, levels[i + 1])[1])
+            own, first = np.unique(g[places], return_index=True)
+            places = places[first]
+        if repeats is None:
+            return own, own
+        shorter, at = _selected(h, levels[i - 1], k)
+        held = shorter[at[places]]
+        keep = np.isin(held, repeats)
+        return own[keep], held[keep]
 
-    return run
-
-
-def _second_level(base: int, window: int, buckets: int):
     def run(batches):
-        hashes, questions = WordHashes(), Questions(buckets, earlier=True)
+        hashes, questions = WordHashes(), Questions(buckets, earlier=last)
         for batch in batches:
-            for doc, text, repeats in zip(batch.column("doc_id").to_pylist(), each_bytes(batch.column("text")), each_bytes(batch.column("repeats")), strict=True):
-                h = hashes.of((text or b"").split())
-                if len(h) < window:
+            given = each_bytes(batch.column("repeats")) if i else (None for _ in range(batch.num_rows))
+            for doc, text, repeats in zip(batch.column("doc_id").to_pylist(), each_bytes(batch.column("text")), given, strict=True):
+                words = (text or b"").split()
+                if doc is None or len(words) < levels[-1]:
                     continue
-                g, at = _selected(h, base, window)
-                own, starts = np.unique(grams(h, window), return_index=True)
-                keep = np.isin(g[at[starts]], np.frombuffer(repeats, np.uint64))
-                if keep.any() and questions.add(doc, own[keep], g[at[starts[keep]]]):
+                own, by = candidates(hashes.of(words), np.frombuffer(repeats, np.uint64) if i else None)
+                if len(own) and questions.add(doc, own, by):
                     yield from questions.flush()
         yield from questions.flush()
         give_back()
@@ -228,21 +228,32 @@ def _cut(window: int, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = False) -> DataFrame:
+def doubling(start: int, window: int) -> list[int]:
+    """start, 2 start, 4 start, ... and at last the window."""
+    levels = [start]
+    while levels[-1] < window:
+        levels.append(min(2 * levels[-1], window))
+    return levels
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, start: int | None = None, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept_sha256 (or kept_text).
 
     A word goes if it stands in a window of ``window`` words that also starts in a document with a
     smaller doc_id; windows are judged on the input. A null text has no words. Rows that share a
     doc_id never cut one another; a null doc_id is neither smaller nor larger than any, so its
     words stay. An empty table gives no rows."""
-    if window < 2:
-        raise ValueError("a window has two words at least")
-    base, buckets = (window + 1) // 2, shuffle_partitions(docs.sparkSession) * BUCKETS
-    # the same exchange of texts serves both joins: the key is never null, so no filter tells them apart
+    levels = doubling(start or (window + 1) // 2, window)
+    if not 1 <= levels[0] < window:
+        raise ValueError("the first level is shorter than the window")
+    buckets = shuffle_partitions(docs.sparkSession) * BUCKETS
+    # the same exchange of texts serves all joins: the key is never null, so no filter tells them apart
     texts = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NOBODY)).alias("d"))
-    seen = _exchange(texts.select("doc_id", "text").mapInArrow(_first_level(base, window, buckets), _ROW), False, "repeats")
-    back = texts.join(seen.hint("shuffle_hash"), "d").select("doc_id", "text", "repeats")
-    found = _exchange(back.mapInArrow(_second_level(base, window, buckets), _ROW), True, "windows")
+    found = _exchange(texts.select("doc_id", "text").mapInArrow(_ask(levels, 0, buckets), _ROW), False, "repeats")
+    for i in range(1, len(levels)):
+        back = texts.join(found.hint("shuffle_hash"), "d").select("doc_id", "text", "repeats")
+        last = i == len(levels) - 1
+        found = _exchange(back.mapInArrow(_ask(levels, i, buckets), _ROW), last, "windows" if last else "repeats")
     judged = texts.join(found.hint("shuffle_hash"), "d", "left")
     kind = "binary" if keep_text else "string"
     id_kind = docs.schema["doc_id"].dataType.simpleString()

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 
 from marlstone.llm import substring_dedup
-from marlstone.llm.substring_dedup import remove_repeats
+from marlstone.llm.substring_dedup import doubling, remove_repeats
 
 from .conftest import multiset, rows, words
 
@@ -33,6 +33,12 @@ def test_odd_documents(odd_clashing, window):
     assert multiset(rows(remove_repeats(odd_clashing, window))) == brute(docs, window)
 
 
+@pytest.mark.parametrize(("window", "start", "levels"), [(13, 3, [3, 6, 12, 13]), (13, 1, [1, 2, 4, 8, 13]), (50, 7, [7, 14, 28, 50])])
+def test_levels(documents, window, start, levels):
+    assert doubling(start, window) == levels
+    assert multiset(rows(remove_repeats(documents, window, start))) == brute(rows(documents.select("doc_id", "text")), window)
+
+
 def test_documents(documents):
     assert multiset(rows(remove_repeats(documents))) == brute(rows(documents.select("doc_id", "text")), 13)
 
