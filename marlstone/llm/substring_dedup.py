@@ -81,7 +81,7 @@ class Questions:
         """``by`` decides the bucket; another hash than ``h`` makes chance equality rarer still."""
         self.parts.append((h, by, np.full(len(h), doc, np.int64)))
         self.size += len(h)
-        return self.size >= GATHER
+        return self.size >= max(GATHER, 16 * self.buckets)  # rows of some size, however many buckets
 
     def flush(self):
         """Answers for all but the first document of each hash; questions for the first, flagged where
