@@ -112,3 +112,10 @@ def test_near_copies_go_and_others_stay(spark, odd):
 
 def test_wide_fingerprint_begins_with_the_narrow_one():
     assert simhash.fingerprint(b"some words to hash and some more", 4, 1024)[:8] == simhash.fingerprint(b"some words to hash and some more", 4, 64)
+
+
+def test_wider_blocks_for_larger_corpora():
+    small, large = simhash.wide_for(1000), simhash.wide_for(10**9)
+    assert small["width"] == 24 and large["width"] == 36 and large["tables"] > small["tables"] >= 140
+    tables = simhash.sampled_tables(1024, 24, 150)
+    assert len(tables) == 150 and all(len(set(t.tolist())) == 24 for t in tables)
