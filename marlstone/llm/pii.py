@@ -5,9 +5,8 @@ them works an information-theoretic sanitiser: over all documents of the corpus
 how often a term stands together with a protected entity. With IC(e) = -log2 p(e) the
 information that an entity carries and PMI(e, t) = log2 p(e, t) / (p(e) p(t)) what a term tells
 about it, a term whose PMI reaches the disclosure share of IC reveals the entity, and its
-occurrences in texts with that entity become spans too. Entities are protected in this way
-when at least ``SUPPORT`` distinct texts have them, and so must a pair: below that a count
-tells chance from disclosure no better than a coin.
+occurrences in texts with that entity become spans too. Every entity is protected, however
+few texts have it: for one of a single text these are the terms that hardly any other has.
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Distinct texts behind a pair of entity and term, and the share of IC that a term may not reach.
-SUPPORT, DISCLOSURE = 3, 0.9
+#: The share of IC that a term may not reach.
+DISCLOSURE = 0.9
 #: Candidate terms that are broadcast to the count over the corpus, at most (a few dozen bytes each).
 BROADCAST_TERMS = 200_000
 #: Same matches as the plain patterns, in linear time: possessive, and begun only where the last
@@ -108,40 +107,45 @@ def _lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def disclosing_terms(keyed: DataFrame, keys: DataFrame, base: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(keyed: DataFrame, keys: DataFrame, base: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """Rows (k1, k2, term): the terms that reveal an entity of that text.
 
-    Probabilities are shares of all documents; support is counted in distinct texts, so that copies of
-    one text lend none to each other."""
+    Probabilities are shares of all documents. Entities of the same texts have the same counts with
+    every term and are taken as one, so a list of addresses is not paired with its words."""
     n_docs = F.lit(float(max(1, keys.count())))
     entities = base.select("k1", "k2", F.xxhash64("kind", F.lower("match")).alias("e")).distinct()
-    frequent = entities.groupBy("e").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("e")
+    alike = entities.groupBy("e").agg(F.xxhash64(F.count(F.lit(1)), F.bit_xor("k1"), F.bit_xor("k2")).alias("same"))
     copies = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    entities = checkpoint(entities.join(frequent, "e").join(copies, ["k1", "k2"]))
+    entities = entities.join(alike, "e").select("k1", "k2", F.col("same").alias("e")).distinct()
+    entities = checkpoint(entities.join(copies, ["k1", "k2"]))
     e_docs = entities.groupBy("e").agg(F.sum("copies").alias("e_docs"))
     words = F.array_distinct(F.regexp_extract_all(_lower(F.col("text")), F.lit(TERM), F.lit(0)))
     exposed = _may_match(keyed).join(entities.select("k1", "k2").distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi")
     near = checkpoint(exposed.select("k1", "k2", F.explode(words).alias("term")).distinct())
-    pairs = near.join(entities, ["k1", "k2"]).groupBy("e", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
+    pairs = near.join(entities, ["k1", "k2"]).groupBy("e", "term").agg(F.sum("copies").alias("both"))
     ic = -F.log2(F.col("e_docs") / n_docs)
-    pairs = checkpoint(pairs.where(F.col("texts") >= support).join(e_docs, "e").where(ic > 0))
+    reveals = lambda docs: F.log2(F.col("both") * n_docs / (F.col("e_docs") * F.col(docs))) >= disclosure * ic
+    # the documents with an entity alone hold many a term too often; only the others are counted in all
+    texts = entities.select("k1", "k2", "copies").distinct()
+    least = near.join(texts, ["k1", "k2"]).groupBy("term").agg(F.sum("copies").alias("least_docs"))
+    pairs = checkpoint(pairs.join(e_docs, "e").where(ic > 0).join(least, "term").where(reveals("least_docs")))
     terms = pairs.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:  # a bounded table; beyond it the words are shuffled
-        terms = F.broadcast(terms)
-    counted = keyed.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
-    pmi = F.log2(F.col("both") * n_docs / (F.col("e_docs") * F.col("t_docs")))
-    revealing = pairs.join(counted, "term").where(pmi >= disclosure * ic).select("e", "term")
+    counted = keyed.select(F.explode(words).alias("term"))
+    if terms.count() <= BROADCAST_TERMS:  # a bounded table; beyond it all terms are counted
+        counted = counted.join(F.broadcast(terms), "term", "left_semi")
+    counted = counted.groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
+    revealing = pairs.join(counted, "term").where(reveals("t_docs")).select("e", "term")
     return near.join(entities.select("k1", "k2", "e"), ["k1", "k2"]).join(revealing, ["e", "term"], "left_semi").select("k1", "k2", "term").distinct()
 
 
-def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     A null text is an empty one; copies and repeated rows get equal spans; terms that touch a base span add nothing; an empty table gives no rows."""
     keyed = _keyed(docs)
     keys = checkpoint(keyed.select("doc_id", "k1", "k2"))
     base = checkpoint(base_matches(keyed))
-    terms = checkpoint(disclosing_terms(keyed, keys, base, support, disclosure))
+    terms = checkpoint(disclosing_terms(keyed, keys, base, disclosure))
     texts = _may_match(keyed).join(terms.select("k1", "k2").distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi").select("k1", "k2", _lower(F.col("text")).alias("text"))
     places = located(texts, {4: (TERM, F.lit(True))}, ["k1", "k2"]).join(terms.withColumnRenamed("term", "match"), ["k1", "k2", "match"], "left_semi")
     span = F.struct("start", "kind", "end")

@@ -133,3 +133,27 @@ def test_terms_that_disclose_an_entity(spark):
         assert own == ({w for w in revealing if w in t.lower().split()} if t in exposed else set()), i
     clean = {r["doc_id"]: r["text"] for r in sanitise(df, find_personal_data(df)).collect()}
     assert "anna" not in clean[0] and "[EMAIL]" in clean[0] and "Frau" not in clean[0] and clean[101] == "Schmidtke allein" and clean[102] == ""
+
+
+def test_entities_of_one_text_are_protected(spark):
+    """By the definition over all pairs, with copies, shared entities and a text with many of them."""
+    common = "der Garten und das Haus wegen der Sache"
+    docs = [(i, common + " " + "abcdefghij"[i % 10] * 4) for i in range(80)]
+    docs += [(100, f"{common} Wolkenstein ruft anna@firma.de"), (101, f"{common} Holzapfel a@b.de c@d.de"), (102, f"{common} Kesselring a@b.de Holzapfel")]
+    docs += [(110 + i, f"{common} Pfefferkorn 10.1.2.7") for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    entities, terms = defaultdict(set), defaultdict(set)
+    for i, t in docs:
+        for s, _, e in brute_personal(t):
+            entities[t[s:e].lower()].add(i)
+        for w in set(re.findall(r"[^\W\d_]{3,}", t.lower())):
+            terms[w].add(i)
+    revealing = {(e, w) for e, x in entities.items() for w, y in terms.items() if x & y and log2(len(x & y) * len(docs) / (len(x) * len(y))) >= 0.9 * -log2(len(x) / len(docs))}
+    assert {("anna@firma.de", "wolkenstein"), ("10.1.2.7", "pfefferkorn")} <= revealing
+    for r in find_personal_data(df).collect():
+        t = dict(docs)[r["doc_id"]]
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        touched = [(int(s), int(e)) for k, s, e in spans if k != "term"]
+        own = {t[int(s) : int(e)].lower() for k, s, e in spans if k == "term"}
+        clear = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(s < m.end() and m.start() < e for s, e in touched)}
+        assert own == {w for e, w in revealing if r["doc_id"] in entities[e]} & clear, r
