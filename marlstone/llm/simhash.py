@@ -66,8 +66,10 @@ def fingerprint(text: bytes | None, k: int = 4, bits: int = 64) -> bytes:
     """Bit i (little-endian) is 1 if over half of the shingle hashes have it. Wider fingerprints take
     further bits from scrambled hashes; the first 64 are the same."""
     h = shingle_hashes(text or b"", k)
-    if not len(h):
-        return bytes(bits // 8)
+    return _print(h, bits) if len(h) else bytes(bits // 8)
+
+
+def _print(h: np.ndarray, bits: int) -> bytes:
     with np.errstate(over="ignore"):
         lanes = [2 * bit_counts(mix(h ^ (_LANE * np.uint64(i))) if i else h) > len(h) for i in range(bits // 64)]
     return np.packbits(np.concatenate(lanes), bitorder="little").tobytes()
@@ -157,6 +159,17 @@ def _search(most: int):
     return run
 
 
+def _deal(keys: DataFrame, values: DataFrame, part: int) -> DataFrame:
+    """Rows (key, p, q, id, ...) of all keys (key, id) that two or more have, with the columns of
+    ``values`` by id; every pair of parts of a key's rows stands together, sorted."""
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / part).cast("int")
+    dealt = keys.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id").join(values, "id")
+    return dealt.repartition(shuffle_partitions(keys.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+
+
 def link_fingerprints(fps: DataFrame, tables: list[np.ndarray], most: int, part: int = PART) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of ``fps`` (doc_id, fp).
 
@@ -166,13 +179,7 @@ def link_fingerprints(fps: DataFrame, tables: list[np.ndarray], most: int, part:
     known = distinct.where("id is not null")
     # computed twice rather than kept: the keys are many times the fingerprints
     keys = known.mapInArrow(_keys(tables), "key long, id long")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / part).cast("int")
-    dealt = keys.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id").join(known, "id")
-    spark = fps.sparkSession
-    dealt = dealt.repartition(shuffle_partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+    dealt = _deal(keys, known, part)
     labels = components(dealt.mapInArrow(_search(most), "u long, v long"))
     named = distinct.join(labels, F.col("id") == F.col("node"), "left")
     return named.select("fp", F.coalesce("component", "id").alias("component_id"))
@@ -192,26 +199,139 @@ def simhash_components(docs: DataFrame, k: int = 4, most: int = 4, blocks: int =
     return fps.join(labels, "fp").select("doc_id", number.alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates of five-word shingles with a similarity of 0.8 or more: for a Jaccard similarity J
-#: the angle of the shingle counts is acos(2J / (1 + J)), so 0.8 is 15.1 % of differing bits.
-#: 64 bits cannot tell 0.8 from chance; 1,024 can (standard deviation 1.1 %). 150 blocks of 24
-#: bits find 95 % of the pairs at 0.8 and nearly all at 0.85. Chance collisions grow with the square
-#: of the documents over 2^width; ``wide_for`` gives the width and number of blocks for larger corpora.
-WIDE = {"k": 5, "bits": 1024, "width": 24, "tables": 150, "share": 0.16}
+#: Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+#: Fingerprints only choose the candidates: for a similarity J the angle is acos(2J / (1 + J)), so
+#: 0.8 is 15.1 % of 1,024 differing bits with a standard deviation of 1.1 %; 19 % leaves out one pair
+#: in thousands, and 235 blocks of 24 bits are shared by 98.6 % of the pairs at 0.8 or more.
+#: Chance collisions grow with the square of the documents over 2^width; ``wide_for`` gives the
+#: width and number of blocks for larger corpora.
+WIDE = {"k": 5, "bits": 1024, "width": 24, "tables": 235, "share": 0.19}
+#: Sets of at most so many shingles are too small for fingerprints and are found by common shingles.
+SHORT = 32
+#: Texts of one part of a large group whose shingles are compared.
+SET_PART = 256
 
 
-def wide_for(n_docs: int, recall: float = 0.95) -> dict:
+def wide_for(n_docs: int, recall: float = 0.99) -> dict:
     """Parameters that keep chance collisions below one in 64 rows of a table."""
     width = max(24, n_docs.bit_length() + 6)
     agree = (1 - 0.1514) ** width
     return WIDE | {"width": width, "tables": int(np.ceil(np.log(1 - recall) / np.log1p(-agree)))}
 
 
+def _set_key(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _sketches(k: int, bits: int):
+    """Of each text the key of its set of shingles, and the fingerprint of a long set or the shingles of a
+    short one; sets that may match either kind have both."""
+
+    def run(batches):
+        for batch in batches:
+            ids, fps, sets = [], [], []
+            for text in column_bytes(batch.column("text")):
+                own = np.unique(shingle_hashes(text, k))
+                ids.append(_set_key(own))
+                fps.append(_print(own, bits) if len(own) > SHORT else None)
+                sets.append(own.tobytes() if 4 * len(own) <= 5 * SHORT else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "id", "fp", "shingles"])
+
+    return run
+
+
+def _sets(k: int):
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, k)) for t in column_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _first_shingles(batches):
+    """The first fifth (and one more) of each sorted set: two sets at 0.8 or more have one of these in common."""
+    for batch in batches:
+        own = [np.frombuffer(x, np.int64) for x in column_bytes(batch.column("shingles"))]
+        own = [x[: len(x) // 5 + 1] for x in own]
+        ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), [len(x) for x in own])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *own])), pa.array(ids)], names=["key", "id"])
+
+
+def similar_edges(sets: list[np.ndarray], ids: list) -> tuple[list, list]:
+    """A spanning forest of the links (Jaccard similarity of 0.8 or more) among the given sets."""
+    a, b, sizes = [], [], np.array([len(x) for x in sets])
+    known, values = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+    own, rest, first = values, np.ones(len(sets), bool), 0
+    while rest.any():
+        first += int(np.argmax(rest[first:]))
+        queue = [first]
+        rest[first] = False
+        while queue and rest.any():
+            x = queue.pop()
+            mark = np.zeros(len(known), bool)
+            mark[own[ends[x] - sizes[x] : ends[x]]] = True
+            common = np.bincount(owner[mark[values]], minlength=len(sets))
+            near = np.flatnonzero(rest & (9 * common >= 4 * (sizes + sizes[x])))
+            if len(near):
+                a += [ids[x]] * len(near)
+                b += [ids[i] for i in near]
+                queue += near.tolist()
+                rest[near] = False
+                values, owner = values[rest[owner]], owner[rest[owner]]
+    return a, b
+
+
+def _compare(batches):
+    """Edges within each run of rows of one group (key, p, q); rows come sorted by group."""
+    held, ids, sets = None, [], []
+    for batch in batches:
+        a, b = [], []
+        groups = zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q")), strict=True)
+        for group, i, own in zip(groups, batch.column("id").to_pylist(), column_bytes(batch.column("shingles")), strict=True):
+            if group != held:
+                if len(ids) > 1:
+                    x, y = similar_edges(sets, ids)
+                    a, b = a + x, b + y
+                held, ids, sets = group, [], []
+            ids.append(i)
+            sets.append(np.frombuffer(own, np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+    a, b = similar_edges(sets, ids) if len(ids) > 1 else ([], [])
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+
+
+def similar_documents(docs: DataFrame, wide: dict = WIDE) -> DataFrame:
+    """Rows (doc_id, least) of the documents with words and a doc_id: the smallest doc_id of those that a
+    chain of near-duplicates joins.
+
+    Fingerprints give groups of candidates; within a group, and among short sets that have one of their
+    first shingles in common, the sets themselves are compared."""
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketches = checkpoint(texts.mapInArrow(_sketches(wide["k"], wide["bits"]), f"doc_id {kind}, id long, fp binary, shingles binary"))
+    fps = sketches.where("fp is not null").select(F.col("id").alias("doc_id"), "fp")
+    labels = link_fingerprints(fps, sampled_tables(wide["bits"], wide["width"], wide["tables"]), int(wide["share"] * wide["bits"]))
+    named = sketches.where("fp is not null").groupBy("id").agg(F.any_value("fp").alias("fp"), F.min("doc_id").alias("doc_id"))
+    named = named.join(labels, "fp").select(F.col("component_id").alias("key"), "id", "doc_id")
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    groups = checkpoint(named.join(several, "key"))
+    # one text of each set of a group; a doc_id may have other texts too
+    sets = texts.join(groups.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(wide["k"]), "id long, shingles binary")
+    sets = sets.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    long_edges = _deal(groups.select("key", "id"), sets, SET_PART).mapInArrow(_compare, "u long, v long")
+    short = sketches.where("shingles is not null").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
+    short_edges = _deal(short.mapInArrow(_first_shingles, "key long, id long"), short, SET_PART).mapInArrow(_compare, "u long, v long")
+    joined = components(long_edges.unionByName(short_edges))
+    members = sketches.select("doc_id", "id").join(joined, F.col("id") == F.col("node"), "left")
+    members = checkpoint(members.select("doc_id", F.coalesce("component", "id").alias("component")))
+    return members.join(members.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("doc_id", "least")
+
+
 def drop_near_duplicates(docs: DataFrame, wide: dict = WIDE) -> DataFrame:
     """The documents without those that have a near-duplicate chain to a smaller doc_id. Texts without
     words are no copies of one another and stay, as do rows with a null doc_id; rows of one doc_id
     stay or go together."""
-    fps = checkpoint(fingerprint_documents(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), wide["k"], wide["bits"]))
-    labels = link_fingerprints(fps, sampled_tables(wide["bits"], wide["width"], wide["tables"]), int(wide["share"] * wide["bits"]))
-    gone = checkpoint(fps.join(labels, "fp").where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct())
+    gone = checkpoint(similar_documents(docs, wide).where("doc_id > least").select("doc_id").distinct())
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

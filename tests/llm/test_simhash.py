@@ -119,3 +119,24 @@ def test_wider_blocks_for_larger_corpora():
     assert small["width"] == 24 and large["width"] == 36 and large["tables"] > small["tables"] >= 140
     tables = simhash.sampled_tables(1024, 24, 150)
     assert len(tables) == 150 and all(len(set(t.tolist())) == 24 for t in tables)
+
+
+def test_pairs_just_above_the_similarity_are_found(spark):
+    """Long pairs at 0.8 and a little more, and short ones; pairs below it stay."""
+    docs, far = [], []
+    fresh = lambda i, side, n: [f"{side}{i}x{j}" for j in range(n)]
+    for i, (common, own) in enumerate([(404, 50)] * 120 + [(8, 1), (9, 1), (20, 2), (36, 4), (40, 4), (36, 3)] * 10):
+        base = fresh(i, "c", common)
+        docs += [(i, " ".join(base + fresh(i, "a", own))), (1000 + i, " ".join(base + fresh(i, "b", own)))]
+    for i in range(60):  # one word more: 4 of 5 shingles and up, exactly found
+        docs += [(3000 + i, " ".join(fresh(i, "s", 8 + i % 30))), (4000 + i, " ".join(fresh(i, "s", 9 + i % 30)))]
+    for i in range(40):  # 0.75
+        far += [(5000 + i, " ".join(fresh(i, "f", 304) + fresh(i, "g", 50))), (6000 + i, " ".join(fresh(i, "f", 304) + fresh(i, "h", 50)))]
+    kept = {r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(docs + far, "doc_id long, text string")).collect()}
+    shingles = {i: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in docs + far}
+    near = {i for i in shingles if 1000 <= i < 3000 or 4000 <= i < 5000 or i >= 6000}
+    near = {i for i in near if len(shingles[i] & shingles[i - 1000]) >= 0.8 * len(shingles[i] | shingles[i - 1000])}
+    gone = set(shingles) - kept
+    assert gone <= near and len([i for i in near if i < 1120]) == 120
+    assert {i for i in near if len(shingles[i]) <= 32} <= gone
+    assert len([i for i in near & gone if i < 1120]) >= 114
