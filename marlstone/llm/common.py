@@ -24,6 +24,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
 
 
+#: A key that more than one in so many rows has is hot; fewer keys than that can be hot at once.
+HOT = 1000
+
+
+def arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
+    """``mapInArrow`` on workers that have this package, wherever the frame comes from."""
+    ship(df.sparkSession)
+    return df.mapInArrow(kernel, schema)
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int, spread: str) -> DataFrame:
+    """``rows`` left-joined to ``side``, which has one row for each key and the number ``n`` of rows that
+    have it; ``total`` is the sum of ``n``.
+
+    The side's rows of hot keys, fewer than ``HOT`` by that definition, are broadcast; the rows that they
+    match are dealt by a hash of ``spread`` through the shuffle that serves all other keys, so that no task
+    gets all rows of one key."""
+    values = [c for c in side.columns if c not in (*on, n)]
+    packed = side.select(*on, F.col(n).alias("__n"), F.struct(*values).alias("__side"))
+    is_hot = F.col("__n") > max(1.0, total / HOT)
+    hot = packed.where(is_hot).select(*on, F.col("__side").alias("__hot"))
+    cold = packed.where(~is_hot).select(*on, F.lit(0).alias("__salt"), F.col("__side").alias("__cold"))
+    flagged = rows.join(F.broadcast(hot), on, "left")
+    salt = F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 16)))
+    both = flagged.withColumn("__salt", salt.cast("int")).join(cold, [*on, "__salt"], "left")
+    found = F.coalesce("__hot", "__cold")
+    return both.select(*rows.columns, *(found[v].alias(v) for v in values))
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reaches."""
+    store, where = _at(spark, path)
+    return store.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in any store that Spark reaches."""
+    store, where = _at(spark, path)
+    store.delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, spread_join
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """``n``: number of edges. The centre of a large star is a hot key, so its edges are dealt by their other end."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return spread_join(both, least, ["u"], "n", 2 * n, "v").where(F.col("v") > F.col("u")).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpoint(edges.where("u is not null and v is not null and u <> v").select(least.alias("u"), most.alias("v")).distinct())
     state = _state(edges)
     while state[0]:
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(_small_star(_large_star(edges, state[0])))
         before, state = state, _state(edges)
         if state == before:
             break

@@ -6,7 +6,8 @@ find these windows. A q-gram bound, which no such window can miss, leaves the wi
 enough word triples of one item. They and the items are embedded by random walks (CGK: read
 the word under the pointer, move on by a random bit that depends on step and word), which turn edit
 distance into Hamming distance; sampled places of the embeddings are the keys of repeated hash
-tables. Windows and items with an equal key are compared exactly.
+tables. Windows and items with an equal key are compared exactly. Items of fewer than ``SHORT`` words have
+no room for edits and are looked up as they are.
 """
 
 from __future__ import annotations
@@ -16,17 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, mix
-
-#: Edits per word of an item, and the fewest words that identify an item; shorter items are left out.
-EDITS, LEAST_WORDS = 0.2, 8
-#: Random walks, hash tables and sampled places of each. Measured recall over items of 16 to 59 words:
-#: 0.99 at 10 % and 0.98 at 20 % edits for a single window.
-WALKS, TABLES, PLACES = 16, 64, 6
-#: Items that one pass takes (about 1 KB each in every task); a larger benchmark takes several passes.
-BLOCK = 20_000
-#: Windows embedded at once, and words (of whole texts) looked through at once.
-CHUNK, RUN = 2048, 200_000
+from .common import arrow, column_bytes, grams, mix
+
+#: Edits per word of an item; items of fewer words than ``SHORT`` match exactly or not at all.
+EDITS, SHORT = 0.2, 8
+#: Random walks and hash tables.
+WALKS, TABLES = 16, 64
+#: Items up to so many words -> sampled places of a key. A walk loses its way after some edits, so longer items,
+#: with more edits, take fewer places; the q-gram bound keeps their candidates few. Measured recall of a single
+#: window at the full 20 % of edits: see README.
+PLACES = ((64, 6), (160, 4), (400, 3), (1000, 2), (1 << 62, 1))
+#: Items that one pass takes (about 1 KB each in every task), and bytes of their texts; a larger benchmark
+#: takes several passes.
+BLOCK, BLOCK_BYTES = 20_000, 32 << 20
+#: Windows embedded at once, numbers that their embeddings and edit distances may take, and words (of whole
+#: texts) looked through at once.
+CHUNK, CELLS, RUN = 2048, 16 << 20, 200_000
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 HITS = "doc_id long, item_id long, start_word int, n_words int, distance int"
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xA24BAED4963EE407)]
@@ -67,30 +73,43 @@ def embed(ids: np.ndarray, at: np.ndarray, size: np.ndarray, steps: int) -> np.n
     return out
 
 
-_SAMPLED = np.random.default_rng(11).random((TABLES, PLACES))
+_SAMPLED = np.random.default_rng(11).random((TABLES, PLACES[0][1]))
+
+
+def _bounded(n: np.ndarray, cells_of):
+    """Cuts of windows, sorted by size ``n``, that hold ``CHUNK`` windows and ``CELLS`` cells at most."""
+    a = 0
+    while a < len(n):
+        b = min(a + CHUNK, len(n))
+        while b - a > 1 and cells_of(int(n[b - 1])) * (b - a) > CELLS:
+            b = a + max(1, min((b - a) // 2, CELLS // cells_of(int(n[b - 1]))))
+        yield slice(a, b)
+        a = b
 
 
 def _signatures(ids: np.ndarray, at: np.ndarray, size: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Keys (TABLES, windows). ``classes``: the item size of each window, which scales the sampled places."""
     out = np.empty((TABLES, len(at)), np.uint64)
-    for a in range(0, len(at), CHUNK):
-        cut = slice(a, a + CHUNK)
-        n = classes[cut]
-        embedded = embed(ids, at[cut], size[cut], 3 * int(n.max()))
+    order = np.argsort(classes, kind="stable")
+    for cut in _bounded(classes[order], lambda n: 3 * n * WALKS):
+        own = order[cut]
+        n = classes[own]
+        embedded = embed(ids, at[own], size[own], 3 * int(n.max()))
         windows = np.arange(len(n))
+        places = np.array([k for _, k in PLACES])[np.searchsorted([m for m, _ in PLACES], n)]
         with np.errstate(over="ignore"):
             for t in range(TABLES):
                 key = n.astype(np.uint64)
-                for p in range(PLACES):
+                for p in range(int(places.max())):
                     read = embedded[(_SAMPLED[t, p] * 3 * n).astype(np.int64), t % WALKS, windows]
-                    key = mix(key * _C[0] + (read + 2).astype(np.uint64))
-                out[t, cut] = key
+                    key = np.where(p < places, mix(key * _C[0] + (read + 2).astype(np.uint64)), key)
+                out[t, own] = key
     return out
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Word edit distances of the rows of ``a`` (pairs, n) and ``b`` (pairs, m); -1 pads the end of b's rows."""
-    steps = np.arange(b.shape[1] + 1)
+    steps = np.arange(b.shape[1] + 1, dtype=np.int32)
     row = np.broadcast_to(steps, (len(a), len(steps))).copy()
     for i in range(a.shape[1]):
         new = np.minimum(row[:, 1:] + 1, row[:, :-1] + (b != a[:, i : i + 1]))
@@ -108,12 +127,12 @@ def _member(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Index:
     """The items of one block, as arrays."""
 
-    def __init__(self, items: list[tuple[int, bytes | None]], edits: float = EDITS, least_words: int = LEAST_WORDS):
+    def __init__(self, items: list[tuple[int, bytes | None]], edits: float = EDITS):
         self.vocabulary: dict[bytes, int] = {}
         words, self.item_ids = [], []
         for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0], x[1] or b"")):
             own = [w for w in map(plain, (text or b"").split()) if w]
-            if len(own) >= least_words:
+            if own:
                 words.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own])
                 self.item_ids.append(item_id)
         self.edits = edits
@@ -122,15 +141,39 @@ class Index:
         self.ids = np.array([x for w in words for x in w] + [0], np.int64)
         self.at = np.cumsum(self.size) - self.size
         self.base = len(self.vocabulary) + 1
-        pairs = [x * self.base + y for w in words for x, y in zip(w, w[1:], strict=False)]
+        long = [(i, w) for i, w in enumerate(words) if len(w) >= SHORT]
+        self.numbers = np.array([i for i, _ in long], np.int64)
+        #: size -> hashes of the short items of that size, sorted, and their numbers
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in sorted({len(w) for w in words if len(w) < SHORT}):
+            own = np.flatnonzero(self.size == m)
+            keys = grams(self.ids[self.at[own][:, None] + np.arange(m)].reshape(-1).astype(np.uint64), m)[::m]
+            order = np.argsort(keys, kind="stable")
+            self.short[m] = keys[order], own[order]
+        pairs = [x * self.base + y for _, w in long for x, y in zip(w, w[1:], strict=False)]
         self.pairs = np.unique(np.array(pairs, np.int64))
-        triples = sorted({(x * self.base + y, z, i) for i, w in enumerate(words) for x, y, z in zip(w, w[1:], w[2:], strict=False)})
+        triples = sorted({(x * self.base + y, z, i) for i, w in long for x, y, z in zip(w, w[1:], w[2:], strict=False)})
         pair, last, self.item_of = np.array(triples, np.int64).reshape(-1, 3).T
         self.triples, self.first_of = np.unique(np.searchsorted(self.pairs, pair) * self.base + last, return_index=True)
         self.end_of = np.append(self.first_of[1:], len(triples))
-        keys = _signatures(self.ids, self.at, self.size, self.size) if words else np.empty((TABLES, 0), np.uint64)
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, axis=1)
+        own = self.numbers
+        keys = _signatures(self.ids, self.at[own], self.size[own], self.size[own]) if len(own) else np.empty((TABLES, 0), np.uint64)
+        order = np.argsort(keys, axis=1, kind="stable")
+        self.keys, self.order = np.take_along_axis(keys, order, axis=1), own[order]
+
+    def verbatim(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, best: dict) -> None:
+        """Update ``best`` by the short items that stand in the documents word for word."""
+        doc = np.repeat(np.arange(len(starts)), ends - starts)
+        for m, (keys, items) in self.short.items():
+            g = grams(ids.astype(np.uint64), m)
+            at = np.flatnonzero(np.isin(g, keys) & (doc[: len(g)] == doc[m - 1 : m - 1 + len(g)]))
+            left, right = np.searchsorted(keys, g[at]), np.searchsorted(keys, g[at], "right")
+            for place, a, b in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
+                for item in items[a:b].tolist():
+                    if (ids[place : place + m] == self.ids[self.at[item] : self.at[item] + m]).all():
+                        d = int(doc[place])
+                        found = (0, place - int(starts[d]), m)
+                        best[d, item] = min(best.get((d, item), found), found)
 
     def candidates(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """Windows that pass the q-gram bound: place, size, item size, document number.
@@ -170,7 +213,8 @@ class Index:
         """(document number, item number, start, words, distance) of the closest window, the first if there
         are several, of each pair."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        windows = self.candidates(ids, starts, ends)
+        self.verbatim(ids, starts, ends, best)
+        windows = self.candidates(ids, starts, ends) if len(self.numbers) else [np.empty(0, np.int64)] * 4
         for a in range(0, len(windows[0]), CHUNK):
             self._compare(ids, starts, *(x[a : a + CHUNK] for x in windows), best)
         return [(d, i, s, m, k) for (d, i), (k, s, m) in sorted(best.items())]
@@ -191,8 +235,8 @@ class Index:
         w, item = w[same], item[same]
         for m in np.unique(n[w]).tolist():
             own = np.flatnonzero(n[w] == m)
-            for a in range(0, len(own), CHUNK):
-                x, y = w[own[a : a + CHUNK]], item[own[a : a + CHUNK]]
+            for cut in _bounded(np.full(len(own), m), lambda k: 4 * k):
+                x, y = w[own[cut]], item[own[cut]]
                 places = np.arange(m)
                 window = np.where(places < size[x][:, None], ids[np.minimum(at[x][:, None] + places, len(ids) - 1)], -1)
                 distance = edit_distances(self.ids[self.at[y][:, None] + places], window)
@@ -247,9 +291,10 @@ def _clean(items: list):
 
 
 def _blocks(benchmark: DataFrame):
-    """The items in blocks of bounded size, as plain rows for the tasks."""
+    """The items in blocks of about ``BLOCK`` items and ``BLOCK_BYTES`` bytes at most, as plain rows for the tasks."""
     rows = benchmark.where("text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
-    blocks = max(1, -(-rows.count() // BLOCK))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head()
+    blocks = max(1, -(-sizes["n"] // BLOCK), -(-sizes["bytes"] // BLOCK_BYTES))
     for b in range(blocks):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         yield [(r["item_id"], bytes(r["text"])) for r in block.collect()]
@@ -258,10 +303,11 @@ def _blocks(benchmark: DataFrame):
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that contaminates it: doc_id, item_id, start_word, n_words, distance.
 
-    Words are compared in lower case (A-Z) without punctuation at their ends. Null and empty texts, and
-    items of fewer than ``LEAST_WORDS`` words, match nothing; repeated rows and items give a row each; an
-    empty table on either side gives no rows."""
-    found = [docs.select("doc_id", "text").mapInArrow(_find(items), HITS) for items in _blocks(benchmark)]
+    Words are compared in lower case (A-Z) without punctuation at their ends; what is punctuation only is no
+    word. Null and empty texts and items match nothing. Items of fewer than ``SHORT`` words must stand there
+    word for word. Of several windows the closest is given, then the first; repeated rows and items give a
+    row each; an empty table on either side gives no rows."""
+    found = [arrow(docs.select("doc_id", "text"), _find(items), HITS) for items in _blocks(benchmark)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -269,7 +315,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that an item contaminates, with their own columns."""
+    """The documents without those that an item contaminates, with their own columns. What matches is said in
+    ``find_contamination``; null texts stay, repeated rows go together, without items all documents stay."""
     for items in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(items), docs.schema)
+        docs = arrow(docs, _clean(items), docs.schema)
     return docs

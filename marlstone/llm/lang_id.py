@@ -12,17 +12,22 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, mix
+from .common import arrow, column_bytes, mix
 
 #: Length of the vectors and of the n-grams.
 DIM, N = 1024, 3
 #: Training texts of a language on average, at most; chosen by a hash of doc_id. Bounds the fit.
 TRAIN_PER_LANG = 3000
+#: Learned languages at most: a label is a language, not free text. Their prototypes (8 KB each) go to the
+#: driver and to every task; more labels are an error, nothing is left out.
+MOST_LANGS = 10_000
 UNKNOWN = "und"
+#: A text of at least so many letters whose best cosine is below this is in no learned language: texts in
+#: other scripts have 0 with a standard deviation of 0.03, texts in a learned language have 0.3 and more.
+LEAST_LETTERS, LEAST_SCORE = 40, 0.2
 
 
 @functools.cache
@@ -49,11 +54,13 @@ class Profiler:
         self.codes: list[int] = []
         self.rows: dict[int, int] = {}
         self.table = np.empty((1024, DIM), np.int8)
+        self.letters = 0  # of the last text
 
     def _ids(self, text: bytes) -> np.ndarray:
         """Own numbers of the letters, each run of other characters as one gap (0), a gap at both ends."""
         points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = _letters()[points]
+        self.letters = int(is_letter.sum())
         if not is_letter.any():
             return np.empty(0, np.int64)
         ids = self.code_of[points]
@@ -121,11 +128,14 @@ def held_out(doc_id):
 
 def train_prototypes(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes as unit rows, from labelled rows that are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().withColumnRenamed("lang", "l")
-    share = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < F.lit(per_lang) / F.col("count") * (1 << 30)
-    sample = rows.join(F.broadcast(counts), (F.col("lang") == F.col("l")) & share, "left_semi").select("lang", "text")
-    sums = sample.mapInArrow(_train, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang")
+    known = docs.sparkSession.createDataFrame([(r["lang"], per_lang / r["n"] * (1 << 30)) for r in counts], "known string, below double")
+    share = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < F.col("below")
+    sample = rows.join(F.broadcast(known), (F.col("lang") == F.col("known")) & share, "left_semi").select("lang", "text")
+    sums = arrow(sample, _train, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
     vectors: dict[str, np.ndarray] = {}
     for r in sums.collect():  # DIM rows for each language
         vectors.setdefault(r["lang"], np.zeros(DIM))[r["dim"]] = r["v"]
@@ -134,27 +144,36 @@ def train_prototypes(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[l
     return langs, matrix
 
 
+def _judge(langs: list[str], prototypes: np.ndarray):
+    """texts -> (language, score, letters) of each; one profiler for each task, made where it runs."""
+    held: list = []
+
+    def judge(texts: list) -> list[tuple[str, float, int]]:
+        if not held:
+            held.extend((Profiler(), prototypes.T.copy()))
+        profiler, columns = held
+        out = []
+        for text in texts:
+            v = profiler.bundle(text) if langs else None
+            if v is None:
+                out.append((UNKNOWN, 0.0, 0))
+                continue
+            cosines = v @ columns / (float(np.sqrt(np.dot(v.astype(np.float64), v))) or 1.0)
+            best = int(np.argmax(cosines))
+            out.append((langs[best], float(np.clip(cosines[best], 0, 1)), profiler.letters))
+        return out
+
+    return judge
+
+
 def _predict(langs: list[str], prototypes: np.ndarray):
-    profilers: list[Profiler] = []  # one for each task, made where it runs
+    judge = _judge(langs, prototypes)
 
     def run(batches):
-        if not profilers:
-            profilers.append(Profiler())
-        profiler, columns = profilers[0], prototypes.T.copy()
         for batch in batches:
-            names, scores = [], []
-            for text in column_bytes(batch.column("text")):
-                v = profiler.bundle(text) if langs else None
-                if v is None:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                cosines = v @ columns / (float(np.sqrt(np.dot(v.astype(np.float64), v))) or 1.0)
-                best = int(np.argmax(cosines))
-                names.append(langs[best])
-                scores.append(float(np.clip(cosines[best], 0, 1)))
-            kept = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in batch.schema if f.name != "text"), "lang_pred", "score"])
+            found = judge(column_bytes(batch.column("text")))
+            kept = [batch.column(c) for c in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -163,25 +182,31 @@ def identify_languages(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataF
     """One row per document: doc_id, held_out, lang_pred, score (the cosine, 0 to 1).
 
     A null text or one without a letter is 'und' with score 0; so is all if nothing can be
-    learned. Equal cosines go to the first language in code-point order. Repeated rows get
-    equal predictions; an empty table gives no rows."""
+    learned. A null doc_id is not held out. Equal cosines go to the first language in code-point order.
+    Repeated rows get equal predictions; an empty table gives no rows; other columns are not looked at."""
     langs, prototypes = train_prototypes(docs, per_lang)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_predict(langs, prototypes), "doc_id long, held_out boolean, lang_pred string, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return arrow(rows, _predict(langs, prototypes), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def _reject(langs: list[str], prototypes: np.ndarray):
-    predict = _predict(langs, prototypes)
+    judge = _judge(langs, prototypes)
 
     def run(batches):
         for batch in batches:
-            for judged in predict([pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])]):
-                yield batch.filter(pc.not_equal(judged.column("lang_pred"), UNKNOWN))
+            found = judge(column_bytes(batch.column("text")))
+            keep = [lang != UNKNOWN and (score >= LEAST_SCORE or letters < LEAST_LETTERS) for lang, score, letters in found]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, with their own columns. Rejected are those without
-    a letter (null and empty texts among them), and all of them if nothing can be learned."""
-    return docs.mapInArrow(_reject(*train_prototypes(docs)), docs.schema)
+    """The documents that are in a learned language, with their own columns.
+
+    The prediction decides: rejected are texts of ``LEAST_LETTERS`` letters and more whose best cosine is
+    below ``LEAST_SCORE``, texts without a letter (null and empty ones among them), and all of them if nothing
+    can be learned. Shorter texts bear too little evidence and stay. Repeated rows share a verdict; an empty
+    table gives no rows."""
+    return arrow(docs, _reject(*train_prototypes(docs)), docs.schema)

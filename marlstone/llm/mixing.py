@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.protocol import positions
+
 from .common import checkpoint, word_count
 
 #: Hash bits of one histogram and number of nested histograms.
@@ -28,25 +30,32 @@ def place(doc_id: Column, text: Column) -> Column:
 
 
 def _targets(sizes: DataFrame) -> DataFrame:
-    """Sources with weights 1, 2, 3, repeating by code point (null last), and their water-filled targets."""
+    """Sources with weights 1, 2, 3, repeating by code point (null last), and their water-filled targets.
+
+    The level that the excess rises to is found as the rule says it: sources above their cap are closed,
+    the rest is shared among the others, until none is above. Each round is one sum over the sources."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = totals.withColumn("w", (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % 3 + 1)
-    ranked = ranked.withColumn("cap", (F.col("source_size") * MOST_COPIES).cast("double"))
-    filling = Window.orderBy(F.col("cap") / F.col("w"), F.asc_nulls_last("source"))
-    everything = Window.partitionBy()
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    after = filling.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    filled = ranked.withColumn("level", level)
-    filled = filled.withColumn("level", F.max(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.col("level"))).over(everything))
-    target = F.least("cap", F.coalesce(F.col("w") * F.col("level"), "cap"))
-    return filled.select("source", "source_size", target.alias("target"))
+    ranked = positions(totals, F.asc_nulls_last("source"), name="nth")
+    rows = checkpoint(ranked.select("source", "source_size", (F.col("nth") % 3 + 1).alias("w"), (F.col("source_size") * MOST_COPIES).cast("double").alias("cap")))
+    everything, level, closed = rows.agg(F.sum("source_size").alias("n"), F.sum("w").alias("w")).head(), 0.0, -1
+    if everything["w"]:
+        level = everything["n"] / everything["w"]
+        while True:
+            full = F.col("cap") < F.col("w") * F.lit(level)
+            r = rows.agg(F.count_if(full).alias("closed"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("cap"), F.sum(F.when(full, 0).otherwise(F.col("w"))).alias("w")).head()
+            if r["closed"] == closed or not r["w"]:
+                break
+            closed, level = r["closed"], (everything["n"] - r["cap"]) / r["w"]
+    return rows.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(float(level))).alias("target"))
 
 
 def mix_plan(sizes: DataFrame) -> DataFrame:
     """Per source: ``source_size``, ``target``, whole ``copies`` of every row, and the ``threshold``
-    below which a row is taken once more. ``sizes`` has source, size and place."""
-    targets = checkpoint(_targets(sizes))
+    below which a row is taken once more. ``sizes`` has source, size and place.
+
+    A null source is one of the sources; one without words has target 0; equal places stay together; no rows
+    give no plan."""
+    targets = _targets(sizes)
     small = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda df: df
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     left = targets.withColumn("copies", whole).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
@@ -83,7 +92,9 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def taken_copies(place_: Column, copies: Column, threshold: Column) -> Column:
-    return copies + F.when(place_ < threshold, 1).otherwise(0)
+    """Whole copies, and one more below the threshold; never more than ``MOST_COPIES``, also for a row without
+    words, whose place the threshold of a source at its cap may pass."""
+    return F.least(copies + F.when(place_ < threshold, 1).otherwise(0), F.lit(MOST_COPIES))
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -99,9 +110,14 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken, with their own columns."""
+    """The documents that the mix takes, each as often as it is taken, with their own columns.
+
+    Null texts count no words, a null source is a source of its own, equal rows are taken equally often, a
+    document without words is taken three times at most, and an empty table gives no rows."""
     sizes = checkpoint(sized(docs).select("source", "size", "place"))
-    plan = mix_plan(sizes).select(F.struct("source", "copies", "threshold").alias("__plan"))
-    joined = _with_plan(docs.withColumn("__place", place(F.col("doc_id"), F.col("text"))), plan, F.col("__plan.source"))
-    times = taken_copies(F.col("__place"), F.col("__plan.copies"), F.col("__plan.threshold")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    plan = mix_plan(sizes).select(F.col("source").alias("s"), "copies", "threshold")
+    # the documents' columns travel packed, so no name of theirs can clash
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", place(F.col("doc_id"), F.col("text")).alias("place"))
+    times = taken_copies(F.col("place"), F.col("copies"), F.col("threshold")).cast("int")
+    taken = _with_plan(packed, plan, F.col("s")).select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("copy"))
+    return taken.select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, spread_join
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The share of IC that a term may not reach.
@@ -31,7 +31,7 @@ PATTERNS = {
 }
 TERM = r"\p{L}{3,}+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
 def _luhn(digits: Column) -> Column:
@@ -138,11 +138,9 @@ def disclosing_terms(keyed: DataFrame, keys: DataFrame, base: DataFrame, disclos
     return near.join(entities.select("k1", "k2", "e"), ["k1", "k2"]).join(revealing, ["e", "term"], "left_semi").select("k1", "k2", "term").distinct()
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
-
-    A null text is an empty one; copies and repeated rows get equal spans; terms that touch a base span add nothing; an empty table gives no rows."""
-    keyed = _keyed(docs)
+def _text_spans(keyed: DataFrame, disclosure: float) -> tuple[DataFrame, DataFrame]:
+    """Spans (start, kind, end) of each distinct text that has any, with its number of copies: k1, k2, base, all,
+    copies; and the keys (doc_id, k1, k2) of all rows."""
     keys = checkpoint(keyed.select("doc_id", "k1", "k2"))
     base = checkpoint(base_matches(keyed))
     terms = checkpoint(disclosing_terms(keyed, keys, base, disclosure))
@@ -154,26 +152,46 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataF
     own = base_of.join(terms_of, ["k1", "k2"], "left")
     clear = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     own = own.select("k1", "k2", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", clear))).alias("all"))
+    copies = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    return own.join(copies, ["k1", "k2"]), keys
+
+
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and the key k1, k2 of
+    the text, by which ``sanitise`` finds the spans.
+
+    A null text is an empty one; copies and repeated rows get equal spans; terms that touch a base span
+    add nothing; an empty table gives no rows."""
+    own, keys = _text_spans(_keyed(docs), disclosure)
     names = F.array(*(F.lit(k) for k in KINDS))
     text_of = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     count_of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [count_of(k).alias(f"n_{KINDS[k]}") for k in range(4)]
-    digest = own.select("k1", "k2", *counts, F.sha2(text_of(F.col("base")), 256).alias("base_sha256"), text_of(F.col("all")).alias("spans"))
-    joined = keys.join(digest, ["k1", "k2"], "left")
+    digest = checkpoint(own.select("k1", "k2", "copies", *counts, F.sha2(text_of(F.col("base")), 256).alias("base_sha256"), text_of(F.col("all")).alias("spans")))
+    joined = spread_join(keys, digest, ["k1", "k2"], "copies", digest.agg(F.sum("copies")).head()[0] or 0, "doc_id")
     numbers = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS[:4]]
-    return joined.select("doc_id", *numbers, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return joined.select("doc_id", *numbers, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), "k1", "k2")
 
 
 def sanitise(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Replace the spans of ``find_personal_data`` in (doc_id, text): base spans are generalised to their
-    kind in brackets, disclosing terms are removed. Gives doc_id, text."""
-    cut = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.split(s, ":"))
-    text, n = F.coalesce("text", F.lit("")), F.size("cut")
-    rows = texts.select("doc_id", "text").join(spans.select("doc_id", "spans"), "doc_id").withColumn("cut", cut)
+    """The rows of ``texts`` with their own columns and a sanitised text, by the result of
+    ``find_personal_data``: base spans are generalised to their kind in brackets, disclosing terms are removed.
+
+    Rows find their spans by the key of their text, so every row stays one row: repeated rows, several texts
+    of one doc_id, null doc_ids. A null text becomes an empty one; a text that ``spans`` does not know stays
+    as it is; an empty table gives no rows."""
+    key = [F.xxhash64(F.lit(1), "text").alias("k1"), F.xxhash64(F.lit(2), F.length("text"), "text").alias("k2")]
+    packed = texts.select(F.struct(*(F.col(f"`{c}`") for c in texts.columns)).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = checkpoint(spans.where("spans <> ''").groupBy("k1", "k2").agg(F.first("spans").alias("spans"), F.count(F.lit(1)).alias("copies")))
+    total = known.agg(F.sum("copies")).head()[0] or 0
+    rows = spread_join(packed.select("*", *key), known, ["k1", "k2"], "copies", total, "doc_id")
+    cut = F.transform(F.filter(F.split(F.coalesce("spans", F.lit("")), ","), lambda s: s != ""), lambda s: F.split(s, ":"))
+    rows, text, n = rows.withColumn("cut", cut), F.col("text"), F.size("cut")
     at = lambda i, k: F.element_at(F.element_at("cut", i), k).cast("int")
     since = lambda i: F.when(i > 1, F.array_max(F.transform(F.slice("cut", 1, i - 1), lambda s: s[2].cast("int")))).otherwise(0)
     mark = lambda i: F.when(F.element_at(F.element_at("cut", i), 1) == "term", "").otherwise(F.concat(F.lit("["), F.upper(F.element_at(F.element_at("cut", i), 1)), F.lit("]")))
     piece = lambda i: F.when(at(i, 2) >= since(i), F.concat(text.substr(since(i) + 1, at(i, 2) - since(i)), mark(i))).otherwise("")
     pieces = F.transform(F.sequence(F.lit(1), n), piece)
     done = F.concat(F.array_join(pieces, ""), text.substr(since(n + 1) + 1, F.length(text)))
-    return rows.select("doc_id", F.when(n == 0, text).otherwise(done).alias("text"))
+    clean = F.when(n == 0, text).otherwise(done)
+    return rows.select(*(clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in texts.columns))

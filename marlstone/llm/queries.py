@@ -12,8 +12,8 @@ from .decontaminate import find_contamination
 from .lang_id import identify_languages
 from .mixing import mix_digest
 from .pii import find_personal_data
-from .quality import HOST_SHARE, LEAST_TEXTS, MOST_REMOVED, quality_rules
-from .secrets import scan_secrets
+from .quality import HOST_SHARE, LEAST_DOCS, MOST_REMOVED, quality_rules
+from .secrets import scan_twice
 from .sharding import shard_documents
 from .simhash import simhash_components
 from .substring_dedup import remove_repeats
@@ -45,7 +45,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))[0]
+    return scan_twice(table(spark, sf_dir, "documents"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +69,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": sql.SUBSTRING_DEDUP,
         "op5_warc": sql.WARC,
-        "op6_line_frequency": sql.line_frequency(LEAST_TEXTS, HOST_SHARE, MOST_REMOVED),
+        "op6_line_frequency": sql.line_frequency(LEAST_DOCS, HOST_SHARE, MOST_REMOVED),
     }

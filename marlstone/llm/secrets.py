@@ -1,19 +1,21 @@
 """Secret scanning with an incremental blob ledger.
 
-Every historical version of a path is content-addressed by SHA-256. The ledger holds, for each
-blob and rule version, what the rules found. A run scans only the pairs that the ledger lacks,
-each blob once, and joins the findings back to every path and version that has the blob.
+Every historical version of a path is content-addressed by SHA-256. The ledger is a Parquet table
+that holds, for each blob and rule version, what the rules found; it is partitioned by rule version.
+A run scans only the pairs that the ledger lacks, each blob once, appends them, and joins the findings
+that it reads back to every path and version that has the blob.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, column_bytes
+from .common import arrow, checkpoint, column_bytes, exists, remove, shared_dir, spread_join
 
 #: Bump when a rule changes: blobs are then scanned again.
 RULE_VERSION = "1"
@@ -25,6 +27,8 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _PEM = re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----")
 _JWT = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+#: Keys (path and digest, about 100 bytes each) that are broadcast to choose the texts to scan, at most.
+BROADCAST_KEYS = 200_000
 LEDGER = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_spans string, spans string"
 
 
@@ -72,28 +76,80 @@ def blob_id(text):
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def update_ledger(versions: DataFrame, keys: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """The ledger rows that are missing for ``versions`` (path, text): one per unseen blob.
+def read_ledger(spark: SparkSession, path: str, rule_version: str = RULE_VERSION) -> DataFrame | None:
+    """The ledger's rows of one rule version, one per blob; None if the table is not there yet."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.schema(f"{LEDGER}").parquet(path).where(F.col("rule_version") == rule_version)
+    return rows.dropDuplicates(["blob"])  # two runs at once may both have scanned a blob
+
+
+def _unseen(keys: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """For each blob that the ledger lacks the one version (path) that is to be scanned."""
+    first = keys.groupBy("blob").agg(F.min("path").alias("path"))
+    return first if ledger is None else first.join(ledger.select("blob"), "blob", "left_anti")
 
-    ``keys`` has path and blob of the same rows. One version stands for each blob: only its
-    text moves."""
-    unseen = keys.groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text"), blob_id(F.col("text")).alias("blob")).alias("v")
-    same = F.col("v.path").eqNullSafe(F.col("u.path")) & (F.col("v.blob") == F.col("u.blob"))
-    picked = texts.join(unseen.alias("u").hint("shuffle_hash"), same, "left_semi")
-    return picked.mapInArrow(_scan(rule_version), LEDGER).distinct()
 
+def _picked(versions: DataFrame, keys: DataFrame, unseen: DataFrame) -> DataFrame:
+    """The texts of the unseen blobs. A join by (path, blob) chooses the rows; where the rows to scan, or else
+    the rows not to scan, are few enough to broadcast, no text moves for it. All ways give the same rows."""
+    texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text"), blob_id(F.col("text")).alias("blob")).alias("v")
+    same = lambda side: F.col("v.path").eqNullSafe(F.col(f"{side}.path")) & (F.col("v.blob") == F.col(f"{side}.blob"))
+    if (n := unseen.count()) == 0:
+        return texts.limit(0)
+    if n <= BROADCAST_KEYS:
+        return texts.join(F.broadcast(unseen.alias("u")), same("u"), "left_semi")
+    skipped = keys.alias("k").join(unseen.alias("u"), F.col("k.path").eqNullSafe(F.col("u.path")) & (F.col("k.blob") == F.col("u.blob")), "left_anti").distinct()
+    if skipped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return texts.join(F.broadcast(skipped.alias("s")), same("s"), "left_anti")
+    return texts.join(unseen.alias("u").hint("shuffle_hash"), same("u"), "left_semi")
+
+
+def update_ledger(versions: DataFrame, keys: DataFrame, path: str, rule_version: str = RULE_VERSION) -> None:
+    """Scan what ``versions`` (path, text) has and the ledger table below ``path`` lacks, and append it.
+
+    ``keys`` has path and blob of the same rows. A null text is an empty blob; a null path is a path; equal
+    rows are scanned once or, where one path repeats a text, are equal findings, of which one is read back.
+    Nothing unseen: nothing is written. Files become visible by Spark's commit, so a run that fails midway
+    leaves the ledger as it was and the next one scans the same blobs."""
+    spark = versions.sparkSession
+    unseen = checkpoint(_unseen(keys, read_ledger(spark, path, rule_version)))
+    if unseen.isEmpty() and exists(spark, path):
+        return
+    found = arrow(_picked(versions, keys, unseen), _scan(rule_version), LEDGER)
+    found.write.mode("append").partitionBy("rule_version").parquet(path)
+
+
+def findings(keys: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The ledger's findings joined back to every version (path, blob) of ``keys``."""
+    known = checkpoint(ledger.join(keys.groupBy("blob").agg(F.count(F.lit(1)).alias("versions")), "blob"))
+    total = known.agg(F.sum("versions")).head()[0] or 0
+    return spread_join(keys, known, ["blob"], "versions", total, "path")
+
+
+def scan_secrets(docs: DataFrame, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Findings per document through the ledger table below ``path``, which is made or added to: doc_id,
+    n_assign, n_access, n_hex, base_sha256, spans.
+
+    A doc_id is a path, each of its texts a version. A null text is an empty blob; repeated rows and
+    copies share one scan; an empty table gives no rows; other columns are not looked at."""
+    versions = docs.select(F.col("doc_id").alias("path"), "text")
+    keys = checkpoint(versions.select("path", blob_id(F.col("text")).alias("blob")))
+    update_ledger(versions, keys, path, rule_version)
+    found = findings(keys, read_ledger(docs.sparkSession, path, rule_version))
+    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Findings per document, and the ledger rows to append.
 
-    Findings: doc_id, n_assign, n_access, n_hex, base_sha256, spans. A null text is an empty
-    blob; repeated rows and copies share one scan; an empty table gives no rows."""
+def scan_twice(docs: DataFrame) -> DataFrame:
+    """``scan_secrets`` over a ledger of its own: the first run scans every blob, the second finds nothing
+    unseen and answers from the table alone. The ledger is removed; the findings are kept by a checkpoint."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/secret-ledger-{uuid.uuid4().hex}"
     versions = docs.select(F.col("doc_id").alias("path"), "text")
     keys = checkpoint(versions.select("path", blob_id(F.col("text")).alias("blob")))
-    fresh = checkpoint(update_ledger(versions, keys, ledger, rule_version))
-    known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == rule_version).select(*fresh.columns).join(fresh.select("blob"), "blob", "left_anti"))
-    found = keys.join(known, "blob")
-    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans"), fresh
+    update_ledger(versions, keys, path)
+    update_ledger(versions, keys, path)
+    found = findings(keys, read_ledger(spark, path))
+    done = checkpoint(found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans"))
+    remove(spark, path)
+    return done

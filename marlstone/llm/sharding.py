@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, ship, spread_join
 
 #: Groups in a chunk, on average, and chunks at most (the driver gets one row per chunk).
 CHUNK, MOST_CHUNKS = 20_000, 65_536
@@ -60,7 +60,7 @@ def _chunk_kernel(n_shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "k1", "k2"], ascending=[False, True, True], ignore_index=True)
         sums, moved = difference([(int(b),) + (0,) * (n_shards - 1) for b in pdf["bytes"]])
-        out = pdf[["chunk", "k1", "k2"]].assign(place=[m[0] for m in moved])
+        out = pdf[["chunk", "k1", "k2", "rows"]].assign(place=[m[0] for m in moved])
         return out.assign(sums=[sums if i == 0 else None for i in range(len(out))])
 
     return run
@@ -81,21 +81,24 @@ def keyed(docs: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
-    Equal texts, and all null texts, stay in one shard; a null text has size 1. Slots count
+    The groups are dealt by a hash into chunks of about ``CHUNK`` groups at any size of the table; a table of
+    fewer has one. Each chunk is differenced, then the chunks' partial partitions. Equal texts, and all null texts, stay in one shard; a null text has size 1. Slots count
     from 0 within a shard without gaps. An empty table gives no rows."""
+    ship(docs.sparkSession)
     rows = keyed(docs)
-    groups = checkpoint(rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")))
+    groups = checkpoint(rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
     n_groups = groups.count()
     chunks = min(MOST_CHUNKS, max(1, round(n_groups / CHUNK)))
-    schema = "chunk int, k1 long, k2 long, place int, sums array<long>"
+    schema = "chunk int, k1 long, k2 long, rows long, place int, sums array<long>"
     chunked = groups.withColumn("chunk", F.pmod(F.xxhash64("k1"), F.lit(chunks)).cast("int"))
     placed = checkpoint(chunked.groupBy("chunk").applyInPandas(_chunk_kernel(n_shards), schema))
     partial = placed.where("sums is not null").select("chunk", "sums").orderBy("chunk").collect()  # one row per chunk
     moved = difference([tuple(r["sums"]) for r in partial])[1] if partial else []
     spark = docs.sparkSession
     moves = spark.createDataFrame([(r["chunk"], m) for r, m in zip(partial, moved, strict=True)], "chunk int, moved array<int>")
-    homes = placed.join(F.broadcast(moves), "chunk").select("k1", "k2", F.element_at("moved", F.col("place") + 1).alias("shard"))
-    sharded = rows.join(homes, ["k1", "k2"]).select("doc_id", "size", "text_crc32", "shard")
+    homes = placed.join(F.broadcast(moves), "chunk").select("k1", "k2", "rows", F.element_at("moved", F.col("place") + 1).alias("shard"))
+    total = groups.agg(F.sum("rows")).head()[0] or 0
+    sharded = spread_join(rows, homes, ["k1", "k2"], "rows", total, "doc_id").select("doc_id", "size", "text_crc32", "shard")
     return numbered(sharded, n_groups)
 
 

@@ -9,6 +9,7 @@ at most n - 1 edges. Large groups are cut into parts, and every pair of parts is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, column_bytes, mix, shuffle_partitions
+from .common import arrow, checkpoint, column_bytes, mix, shuffle_partitions, spread_join
 from .components import components
 
 #: Fingerprints of one part of a large group.
@@ -85,7 +86,9 @@ def _fingerprints(k: int, bits: int):
 
 
 def fingerprint_documents(docs: DataFrame, k: int = 4, bits: int = 64) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(k, bits), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
+    """(doc_id, fp) of every row. A text without words (null, empty) has fingerprint zero; a null doc_id stays
+    null; repeated rows stay; an empty table gives no rows."""
+    return arrow(docs.select("doc_id", "text"), _fingerprints(k, bits), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
 
 
 def _lanes(column: pa.Array) -> np.ndarray:
@@ -170,41 +173,53 @@ def _deal(keys: DataFrame, values: DataFrame, part: int) -> DataFrame:
     return dealt.repartition(shuffle_partitions(keys.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
 
 
-def link_fingerprints(fps: DataFrame, tables: list[np.ndarray], most: int, part: int = PART) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of ``fps`` (doc_id, fp).
+def link_fingerprints(fps: DataFrame, tables: list[np.ndarray] | Callable[[int], list[np.ndarray]], most: int, part: int = PART) -> DataFrame:
+    """(fp, component_id, rows) of every distinct fingerprint of ``fps`` (doc_id, fp), ``rows`` being how many
+    have it.
 
     Links join fingerprints of at most ``most`` differing bits that share a key in some table; a
     component's id is its smallest doc_id."""
-    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")))
+    tables = tables(distinct.count()) if callable(tables) else tables
     known = distinct.where("id is not null")
     # computed twice rather than kept: the keys are many times the fingerprints
-    keys = known.mapInArrow(_keys(tables), "key long, id long")
+    keys = arrow(known, _keys(tables), "key long, id long")
     dealt = _deal(keys, known, part)
-    labels = components(dealt.mapInArrow(_search(most), "u long, v long"))
+    labels = components(arrow(dealt, _search(most), "u long, v long"))
     named = distinct.join(labels, F.col("id") == F.col("node"), "left")
-    return named.select("fp", F.coalesce("component", "id").alias("component_id"))
+    return named.select("fp", F.coalesce("component", "id").alias("component_id"), "rows")
 
 
-def simhash_components(docs: DataFrame, k: int = 4, most: int = 4, blocks: int = 6) -> DataFrame:
+def blocks_for(n: int, most: int = 4, bits: int = 64) -> int:
+    """Number of blocks for ``n`` distinct fingerprints: the fewest, but two more than ``most`` at least, whose
+    keys have few chance neighbours (a key's bits are at least log2 n - 2). Any number of blocks finds every
+    close pair, so this changes the cost only."""
+    blocks = most + 2
+    while blocks < 2 * most + 4 and (blocks - most) * (bits // blocks) < n.bit_length() - 2:
+        blocks += 1
+    return blocks
+
+
+def simhash_components(docs: DataFrame, k: int = 4, most: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     A text without words (null, empty) has fingerprint zero and links like any other. A document
     with a null doc_id gets the smallest doc_id that its fingerprint reaches, null if there is
     none. Repeated rows stay; an empty table gives no rows."""
     fps = checkpoint(fingerprint_documents(docs, k, 64))
-    labels = link_fingerprints(fps, pigeonhole_tables(64, blocks, most), most)
+    labels = checkpoint(link_fingerprints(fps, lambda n: pigeonhole_tables(64, blocks or blocks_for(n, most), most), most))
+    total = labels.agg(F.sum("rows")).head()[0] or 0
     # stored little-endian, shown as a number
     digits = F.lower(F.hex("fp"))
     number = F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2)))
-    return fps.join(labels, "fp").select("doc_id", number.alias("fingerprint"), "component_id")
+    return spread_join(fps, labels, ["fp"], "rows", total, "doc_id").select("doc_id", number.alias("fingerprint"), "component_id")
 
 
 #: Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 #: Fingerprints only choose the candidates: for a similarity J the angle is acos(2J / (1 + J)), so
 #: 0.8 is 15.1 % of 1,024 differing bits with a standard deviation of 1.1 %; 19 % leaves out one pair
 #: in thousands, and 235 blocks of 24 bits are shared by 98.6 % of the pairs at 0.8 or more.
-#: Chance collisions grow with the square of the documents over 2^width; ``wide_for`` gives the
-#: width and number of blocks for larger corpora.
+#: ``wide_for`` gives the width and number of blocks for larger corpora.
 WIDE = {"k": 5, "bits": 1024, "width": 24, "tables": 235, "share": 0.19}
 #: Sets of at most so many shingles are too small for fingerprints and are found by common shingles.
 SHORT = 32
@@ -212,11 +227,13 @@ SHORT = 32
 SET_PART = 256
 
 
-def wide_for(n_docs: int, recall: float = 0.99) -> dict:
-    """Parameters that keep chance collisions below one in 64 rows of a table."""
-    width = max(24, n_docs.bit_length() + 6)
+def wide_for(n: int, recall: float = 0.986) -> dict:
+    """Parameters for ``n`` distinct long sets: blocks so wide that a key has at most about 32 chance neighbours,
+    24 bits at least, and so many of them that a pair at 0.8 shares one with probability ``recall``. More
+    sets need wider blocks and more tables; what is found stays the same in kind."""
+    width = max(WIDE["width"], n.bit_length() - 5)
     agree = (1 - 0.1514) ** width
-    return WIDE | {"width": width, "tables": int(np.ceil(np.log(1 - recall) / np.log1p(-agree)))}
+    return WIDE | {"width": width, "tables": max(WIDE["tables"], int(np.ceil(np.log(1 - recall) / np.log1p(-agree))))}
 
 
 def _set_key(own: np.ndarray) -> int:
@@ -302,36 +319,38 @@ def _compare(batches):
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
 
-def similar_documents(docs: DataFrame, wide: dict = WIDE) -> DataFrame:
+def similar_documents(docs: DataFrame, wide: dict | None = None) -> DataFrame:
     """Rows (doc_id, least) of the documents with words and a doc_id: the smallest doc_id of those that a
     chain of near-duplicates joins.
 
     Fingerprints give groups of candidates; within a group, and among short sets that have one of their
     first shingles in common, the sets themselves are compared."""
+    chosen, wide = wide, wide or WIDE
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = checkpoint(texts.mapInArrow(_sketches(wide["k"], wide["bits"]), f"doc_id {kind}, id long, fp binary, shingles binary"))
+    sketches = checkpoint(arrow(texts, _sketches(wide["k"], wide["bits"]), f"doc_id {kind}, id long, fp binary, shingles binary"))
     fps = sketches.where("fp is not null").select(F.col("id").alias("doc_id"), "fp")
-    labels = link_fingerprints(fps, sampled_tables(wide["bits"], wide["width"], wide["tables"]), int(wide["share"] * wide["bits"]))
+    tables = lambda n: sampled_tables(wide["bits"], (chosen or wide_for(n))["width"], (chosen or wide_for(n))["tables"])
+    labels = link_fingerprints(fps, tables, int(wide["share"] * wide["bits"]))
     named = sketches.where("fp is not null").groupBy("id").agg(F.any_value("fp").alias("fp"), F.min("doc_id").alias("doc_id"))
     named = named.join(labels, "fp").select(F.col("component_id").alias("key"), "id", "doc_id")
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     groups = checkpoint(named.join(several, "key"))
     # one text of each set of a group; a doc_id may have other texts too
-    sets = texts.join(groups.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(wide["k"]), "id long, shingles binary")
+    sets = arrow(texts.join(groups.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), _sets(wide["k"]), "id long, shingles binary")
     sets = sets.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    long_edges = _deal(groups.select("key", "id"), sets, SET_PART).mapInArrow(_compare, "u long, v long")
+    long_edges = arrow(_deal(groups.select("key", "id"), sets, SET_PART), _compare, "u long, v long")
     short = sketches.where("shingles is not null").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
-    short_edges = _deal(short.mapInArrow(_first_shingles, "key long, id long"), short, SET_PART).mapInArrow(_compare, "u long, v long")
+    short_edges = arrow(_deal(arrow(short, _first_shingles, "key long, id long"), short, SET_PART), _compare, "u long, v long")
     joined = components(long_edges.unionByName(short_edges))
     members = sketches.select("doc_id", "id").join(joined, F.col("id") == F.col("node"), "left")
     members = checkpoint(members.select("doc_id", F.coalesce("component", "id").alias("component")))
     return members.join(members.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("doc_id", "least")
 
 
-def drop_near_duplicates(docs: DataFrame, wide: dict = WIDE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, wide: dict | None = None) -> DataFrame:
     """The documents without those that have a near-duplicate chain to a smaller doc_id. Texts without
     words are no copies of one another and stay, as do rows with a null doc_id; rows of one doc_id
-    stay or go together."""
+    stay or go together. Empty tables give no rows; ``wide`` fixes the blocks that ``wide_for`` else chooses."""
     gone = checkpoint(similar_documents(docs, wide).where("doc_id > least").select("doc_id").distinct())
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

@@ -27,18 +27,18 @@ from p left join f using (payload_digest)
 """
 
 
-def line_frequency(least_texts: int, host_share: float, most_removed: float) -> str:
+def line_frequency(least_docs: int, host_share: float, most_removed: float) -> str:
     fold = r"array_to_string(regexp_extract_all(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^\x20\x09-\x0D]+'), ' ')"
     return rf"""
 with d as (select doc_id, coalesce(text, '') t, coalesce('s' || source, '') host, {_WORDS} w from documents),
  win as (select doc_id, i, array_to_string(w[i:i+7], ' ') s from (select doc_id, w, unnest(range(1, len(w)-6)) i from d where len(w) >= 8)),
  twice as (select doc_id, s from win group by 1, 2 having count(*) > 1),
  cover as (select doc_id, count(distinct j) n from (select doc_id, unnest(range(i, i+8)) j from win semi join twice using (doc_id, s)) group by 1),
- lines as (select doc_id, host, t, l, {fold} k, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) n from (select doc_id, host, t, unnest(string_split(t, chr(10))) l from d)),
+ lines as (select doc_id, host, l, {fold} k, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) n from (select doc_id, host, unnest(string_split(t, chr(10))) l from d)),
  full_lines as (select * from lines where n > 0),
  dup as (select doc_id, count(*) - count(distinct l) n from full_lines group by 1),
- hosts as (select host, count(distinct t) texts from d group by 1),
- bad as (select host, k from full_lines join hosts using (host) group by host, k having count(distinct t) > {least_texts} and count(distinct t) > {host_share} * any_value(texts)),
+ hosts as (select host, count(distinct doc_id) docs from d group by 1),
+ bad as (select host, k from full_lines join hosts using (host) group by host, k having count(distinct doc_id) > {least_docs} and count(distinct doc_id) > {host_share} * any_value(docs)),
  removed as (select doc_id, sum(n)::bigint removed_words from full_lines semi join bad using (host, k) group by 1),
  m as (select doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, coalesce(dup.n, 0) n_dup_lines, coalesce(cover.n, 0) n_repeat_words, coalesce(removed_words, 0) removed_words
   from d left join dup using (doc_id) left join cover using (doc_id) left join removed using (doc_id))

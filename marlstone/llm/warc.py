@@ -1,7 +1,8 @@
 """WARC archives through a chunked record table.
 
-Pages become rows of record identifier and chunk number, no chunk larger than ``CHUNK`` bytes;
-each row carries the running digest of the payload up to its end. A row is written as one WARC
+Pages become rows of record identifier and chunk number, no chunk larger than ``CHUNK`` bytes, before
+anything is shuffled: no row that is moved, and no Arrow batch, holds a whole oversized record. On the
+other side each row gets the running digest of the payload up to its end and is written as one WARC
 record: a payload of several chunks is a segmented record (WARC-Segment-Number, continuation
 records), so neither writer nor reader ever holds a whole oversized record. The files are
 written and read by Spark's own text source with the WARC record end as line separator, so
@@ -14,64 +15,85 @@ import hashlib
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir
+from .common import arrow, checkpoint, remove, shared_dir, spread_join
 
 #: Bytes of payload in one chunk, and of the smallest payload that is stored once only.
 CHUNK, LEAST_SHARED = 1 << 20, 100
 END = b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_CHUNKS = "record string, page_id long, uri string, chunk int, n_chunks int, total long, digest string, refers_to long, running string, piece binary"
+_CHUNKS = "record string, page_id long, uri string, chunk int, n_chunks int, total long, digest string, refers_to long, refers_record string, running string, piece binary"
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _record_id(page_id: Column, url: Column, digest: Column) -> Column:
+    """The identifier of the first of the records that are equal in all three."""
+    return F.concat(F.lit("urn:sha256:"), F.sha2(F.concat_ws(" ", F.coalesce(page_id.cast("string"), F.lit("-")), url, digest), 256))
+
+
+def _payloads(pages: DataFrame) -> DataFrame:
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    return pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.octet_length(payload).cast("long").alias("total"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
-    """Digest, size and the page that each one refers to (null: it is a response).
+    """Per distinct page_id, url and digest: the total, and the page and the record that a revisit refers to
+    (null: it is a response). No payload is moved.
 
     The first of equal payloads is the one with the smallest page_id; rows that share it are all
-    responses. A null page_id comes after all others; a null html is an empty payload."""
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    keys = checkpoint(pages.select("page_id", F.octet_length(payload).cast("long").alias("total"), F.sha2(payload, 256).alias("digest")))
-    first = keys.where(F.col("total") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = keys.join(first.where("n > 1").select("digest", "first"), "digest", "left")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return shared.select("page_id", "total", "digest", refers.alias("refers_to")).distinct()
+    responses, and a revisit refers to the one with the smallest url. A null page_id comes after all others
+    and refers only where another page has one; a null html is an empty payload, a null url an empty one; no
+    pages give no rows."""
+    keys = checkpoint(_payloads(pages).select("page_id", "url", "total", "digest").distinct())
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = keys.where(F.col("total") >= LEAST_SHARED).groupBy("digest").agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = checkpoint(first.where("n > 1"))
+    shared = spread_join(keys, first, ["digest"], "n", first.agg(F.sum("n")).head()[0] or 0, "page_id")
+    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    record = _record_id(F.col("first.page_id"), F.col("first.url"), F.col("digest"))
+    return shared.select("page_id", "url", "total", "digest", F.when(other, F.col("first.page_id")).alias("refers_to"), F.when(other, record).alias("refers_record"))
 
 
 def _running(batches):
-    """Adds the running digest; the chunks of a record come one after another."""
-    state = None
+    """Adds the running digest and numbers records that are equal in page, url and payload; the chunks of a
+    record come one after another."""
+    state, at, nth = None, None, 0
+    names = [x.split()[0] for x in _CHUNKS.split(", ")]
     for batch in batches:
-        out = []
-        for chunk, piece in zip(batch.column("chunk").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+        running, records = [], []
+        for record, chunk, piece in zip(batch.column("record").to_pylist(), batch.column("chunk").to_pylist(), batch.column("piece"), strict=True):
             if chunk == 0:
                 state = hashlib.sha256()
-            state.update(piece)
-            out.append(state.hexdigest())
-        columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)} | {"running": pa.array(out, pa.string())}
-        names = [x.split()[0] for x in _CHUNKS.split(", ")]
+                at, nth = record, nth + 1 if record == at else 0
+            state.update(piece.as_py())
+            running.append(state.hexdigest())
+            records.append(f"{record}:copy-{nth}" if nth else record)
+        columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)} | {"running": pa.array(running, pa.string()), "record": pa.array(records, pa.string())}
         yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
 
 def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per chunk of each record, in order; a revisit has one empty chunk."""
-    plan = plan_records(pages).withColumnRenamed("page_id", "id")
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
-    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("payload_digest") == F.col("digest"))
-    rows = rows.join(plan.hint("shuffle_hash"), same)
-    kept = F.when(F.col("refers_to").isNull(), F.col("total")).otherwise(0)
-    n_chunks = F.greatest(F.ceil(kept / chunk), F.lit(1)).cast("int")
-    record = F.concat(F.lit("urn:sha256:"), F.sha2(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "url", "digest"), 256))
-    uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
-    rows = rows.select(record.alias("record"), "page_id", uri.alias("uri"), n_chunks.alias("n_chunks"), "total", "digest", "refers_to", "payload", kept.alias("kept"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    piece = F.when(F.col("kept") > 0, F.substring("payload", F.col("chunk") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
-    pieces = rows.select("record", "page_id", "uri", "chunk", "n_chunks", "total", "digest", "refers_to", piece.alias("piece"))
-    return pieces.mapInArrow(_running, _CHUNKS)
+    """One row per chunk of each record, in order; a revisit has one empty chunk.
+
+    Record identifiers are unique: of rows that are equal in page_id, url and payload the second and further
+    ones are numbered. Nulls as in ``plan_records``; no pages give no rows."""
+    rows = _payloads(pages).withColumn("row", F.monotonically_increasing_id())
+    n_chunks = F.greatest(F.ceil(F.col("total") / chunk), F.lit(1)).cast("int")
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
+    piece = F.substring("payload", F.col("chunk") * chunk + 1, F.lit(chunk))
+    pieces = rows.select("page_id", "url", "digest", "row", "chunk", piece.alias("piece")).alias("c")
+    plan = plan_records(pages).alias("p")
+    same = F.col("c.page_id").eqNullSafe(F.col("p.page_id")) & (F.col("c.url") == F.col("p.url")) & (F.col("c.digest") == F.col("p.digest"))
+    response = F.col("refers_to").isNull()
+    both = pieces.join(plan.hint("shuffle_hash"), same).where(response | (F.col("chunk") == 0))
+    uri = F.regexp_replace("c.url", r"[\x00-\x20\x7F]", "%20")
+    record = _record_id(F.col("c.page_id"), F.col("c.url"), F.col("c.digest"))
+    own = F.when(response, F.greatest(F.ceil(F.col("total") / chunk), F.lit(1))).otherwise(1).cast("int")
+    out = both.select(record.alias("record"), "c.page_id", uri.alias("uri"), "row", "chunk", own.alias("n_chunks"), "total", "c.digest", "refers_to", "refers_record", F.when(response, F.col("piece")).otherwise(F.lit(b"")).alias("piece"))
+    return arrow(out.sortWithinPartitions("record", "row", "chunk"), _running, _CHUNKS)
 
 
 def _records(batches):
@@ -89,7 +111,7 @@ def _records(batches):
             if first:
                 head += [("WARC-Payload-Digest", f"sha256:{r['digest']}"), ("X-Payload-Length", str(r["total"]))]
             if revisit:
-                head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(r["refers_to"]))]
+                head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{r['refers_record']}>"), ("X-Refers-To-Page-ID", str(r["refers_to"]))]
             if several:
                 head.append(("WARC-Segment-Number", str(r["chunk"] + 1)))
                 if not first:
@@ -103,8 +125,11 @@ def _records(batches):
 
 
 def write_warc(pages: DataFrame, path: str, chunk: int = CHUNK) -> None:
-    """Write one record per page into gzip files below ``path``."""
-    records = chunk_table(pages, chunk).mapInArrow(_records, "value binary").select(F.col("value").cast("string").alias("value"))
+    """Write one record per page into gzip files below ``path``.
+
+    Repeated rows are records of their own with identifiers of their own; nulls as in ``plan_records``; no
+    pages give an archive without records; columns other than page_id, url and html are not looked at."""
+    records = arrow(chunk_table(pages, chunk), _records, "value binary").select(F.col("value").cast("string").alias("value"))
     records.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
@@ -169,19 +194,20 @@ def _read(batches):
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, digests checked; segmented records are put together as a stream."""
+    """One row per record, digests checked (damage is an error); segmented records are put together as a
+    stream. A record without a page has a null page_id; an archive without records gives no rows."""
     pieces = spark.read.option("lineSep", END.decode()).text(path)
-    return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_read, _RECORDS)
+    return arrow(pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")), _read, _RECORDS)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write all pages, read the archives back, and give one row per record:
-    page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write all pages, read the archives back, and give one row per record: page_id, payload_bytes,
+    payload_digest, record_type, refers_to.
+
+    Nulls, ties, repeated rows and empty tables as in ``plan_records`` and ``write_warc``."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
     read = checkpoint(read_warc(spark, path))
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, path)
     return read

@@ -5,7 +5,7 @@ import pytest
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; documents may have columns of these names too.
-CLASHES = ["size", "place", "shard", "slot", "bucket", "key", "fp", "id", "host", "blob", "spans", "k1", "k2", "kept", "lang_pred", "component_id", "taken", "bytes", "doc", "chunk"]
+CLASHES = ["size", "place", "shard", "slot", "bucket", "key", "fp", "id", "host", "blob", "spans", "k1", "k2", "kept", "lang_pred", "component_id", "taken", "bytes", "doc", "chunk", "count", "l", "n", "known", "below", "held_out", "score", "__plan", "__place", "__copy", "__hot", "__salt", "__cold", "__side", "row", "rows", "copies", "gone", "text_key", "path", "digest", "total", "s", "w", "cap", "level", "nth", "left", "threshold", "times", "d", "repeats", "windows", "line", "removed_words", "cut", "deal", "own", "u", "v", "node", "component", "least", "shingles", "position", "__p", "__n"]
 
 
 def words(text):

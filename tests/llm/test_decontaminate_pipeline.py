@@ -1,8 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 
-from marlstone.llm.decontaminate import EDITS, LEAST_WORDS, drop_contaminated, edit_distances, find_contamination, plain
+from marlstone.llm import decontaminate
+from marlstone.llm.decontaminate import EDITS, SHORT, _signatures, drop_contaminated, edit_distances, find_contamination, plain
 
 from .conftest import multiset, rows
 
@@ -25,12 +27,12 @@ def brute(docs, items):
         for i, text in items:
             own = split(text)
             n = len(own)
-            if n < LEAST_WORDS:
+            if not n:
                 continue
-            k, found = int(n * EDITS + 1e-9), None
+            k, found = int(n * EDITS + 1e-9) if n >= SHORT else 0, None
             for s in range(len(w)):
                 window = w[s : s + n]
-                if len(window) < n - k or len(set(window) & set(own)) < 3:
+                if len(window) < n - k or len(set(window) & set(own)) < min(3, len(set(own))):
                     continue
                 best = distance(own, window)
                 if best <= k and (found is None or best < found[2]):
@@ -50,7 +52,7 @@ def test_edit_distances():
 
 def test_planted_passages_and_brute_force(spark, sf):
     random.seed(5)
-    items = rows(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text"))[:12] + [(900, None), (901, "too short"), (902, "")]
+    items = rows(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text"))[:12] + [(900, None), (902, "")]
     docs = rows(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))[:40]
     for n, (i, t) in enumerate(items[:12] * 3):
         w = t.split()
@@ -71,6 +73,70 @@ def test_planted_passages_and_brute_force(spark, sf):
     assert multiset(rows(clean)) == multiset(d for d in docs if d[0] not in {k[0] for k in found})
 
 
+def test_short_items_match_word_for_word(spark, sf):
+    docs = rows(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))[:60]
+    items = [(1, "seven words that stand there verbatim now"), (2, "The"), (3, "(to) ING;"), (4, "seven words that"), (4, "seven words that"), (None, "ends here."), (6, "!!!"), (7, "seven words changed stand there verbatim now")]
+    docs += [(9000, "a Seven, words that stand there -- verbatim now"), (9001, "words that stand there verbatim now seven"), (9002, "so it ends"), (9003, "here it ends here"), (9004, "ends"), (None, "seven words that"), (9004, "ends here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = Counter()
+    for d, t in docs:
+        for (_, i), hit in brute([(0, t)], list(enumerate_items(items))).items():
+            expected[d, items[i][0], *hit] += 1
+    assert Counter(rows(find_contamination(df, bench))) == expected and len(expected) > 20
+    assert {r[0] for r in expected if r[1] == 1} == {9000}
+
+
+def enumerate_items(items):
+    return ((n, t) for n, (_, t) in enumerate(items))
+
+
+def test_long_items(spark):
+    """Items of 5,000 words, within bounded memory: verbatim, edited in part, and another text."""
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(5000 if i == 1 else 300))) for i in (1, 2)]
+    edited = []
+    for _, t in items:
+        w = t.split()
+        for _ in range(len(w) // 50):
+            p, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[p : p + 1] = [["changed"], [], ["put", w[p]]][kind]
+        edited.append("before " + " ".join(w))
+    docs = [(10, "x y " + items[0][1] + " z"), (11, edited[0]), (12, edited[1]), (13, " ".join(f"v{i}" for i in range(6000))), (14, items[0][1][:9000])]
+    found = rows(find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    hits = {r[:2]: r[2:] for r in found}
+    assert set(hits) == {(10, 1), (11, 1), (12, 2)}
+    assert hits[10, 1] == (2, 5000, 0) and 0 < hits[11, 1][2] <= 110 and 0 < hits[12, 2][2] <= 8
+
+
+def test_memory_is_bounded_whatever_the_item(monkeypatch):
+    sizes = []
+    embed = decontaminate.embed
+    monkeypatch.setattr(decontaminate, "embed", lambda *given: sizes.append((out := embed(*given)).size) or out)
+    monkeypatch.setattr(decontaminate, "CELLS", 1 << 18)
+    ids = np.arange(1, 4000)
+    n = np.array([10] * 50 + [1000] * 4 + [300] * 9)
+    _signatures(ids, np.zeros(len(n), np.int64), n, n)
+    assert max(sizes) <= max(1 << 18, 3 * 1000 * decontaminate.WALKS) and len(sizes) > 5
+
+
+def test_recall_by_size():
+    """A single window with all the edits that an item allows shares a key with it, at nine in ten sizes and more."""
+    rng = np.random.default_rng(3)
+    for n, trials in ((8, 60), (16, 60), (38, 60), (59, 60), (64, 40), (100, 40), (160, 20), (250, 20), (400, 10)):
+        found = 0
+        for _ in range(trials):
+            item = rng.integers(1, 100_000, n)
+            w = item.tolist()
+            for _ in range(int(n * EDITS + 1e-9)):
+                p = int(rng.integers(len(w)))
+                w[p : p + 1] = [[200_000], [], [200_000, w[p]]][int(rng.integers(3))]
+            doc = np.array([*w, *rng.integers(1, 100_000, n)])
+            at, size = np.array([0]), np.array([n])
+            found += (_signatures(item, at, size, size) == _signatures(doc, at, size, size)).any()
+        assert found >= 0.9 * trials, n
+
+
 def test_odd_documents(spark, odd_clashing, empty):
     bench = spark.createDataFrame([(1, "The thing and the other thing with it. The thing and"), (2, None), (1, "The thing and the other thing with it. The thing and")], "item_id long, text string")
     found = rows(find_contamination(odd_clashing, bench))

@@ -76,5 +76,60 @@ def test_nothing_to_learn(spark):
     assert rows(identify_languages(docs))[0][2] == "und"
 
 
+def brute_predictions(docs):
+    """Prototypes and predictions by the definition, over all rows that may be learned from."""
+    unit = lambda v: v / (np.linalg.norm(v) or 1.0)
+    sums, bundles = {}, {}
+    for i, text, lang in docs:
+        if text not in bundles:
+            bundles[text] = brute_bundle(text) if any(c.isalpha() for c in text or "") else None
+        learns = i is None or zlib.crc32(str(i).encode()) % 3 != 1
+        if lang is not None and learns and bundles[text] is not None:
+            sums[lang] = sums.get(lang, 0) + bundles[text]
+    out = []
+    for i, text, _ in docs:
+        v = bundles[text]
+        best = max(((round(float(unit(v) @ unit(sums[x])), 9), x) for x in sorted(sums)), key=lambda p: p[0]) if v is not None and sums else (0.0, "und")
+        out.append((i, best[1], best[0]))
+    return out
+
+
+def test_predictions_equal_brute_force(spark, documents, odd_clashing):
+    few = documents.where("n_chars < 700").limit(120).select("doc_id", "text", "lang")
+    for docs in (spark.createDataFrame(few.collect(), few.schema), odd_clashing.where("doc_id is null or doc_id not in (6, 7)")):
+        expected = brute_predictions(rows(docs.select("doc_id", "text", "lang")))
+        found = [(r["doc_id"], r["lang_pred"], r["score"]) for r in identify_languages(docs).collect()]
+        for x, y in zip(multiset(found), multiset(expected), strict=True):
+            assert x[:2] == y[:2] and abs(x[2] - max(0, y[2])) < 1e-6
+
+
 def test_the_sample_is_bounded(documents):
-    assert lang_id.train_prototypes(documents, per_lang=3)[1].shape[1] == DIM
+    """A share of each language's rows is learned from, by a hash of doc_id; prototypes change with it."""
+    given = documents.unionByName(documents.withColumn("doc_id", documents.doc_id + 10_000)).unionByName(documents.withColumn("doc_id", documents.doc_id + 20_000))
+    langs, every = lang_id.train_prototypes(given)
+    some_langs, some = lang_id.train_prototypes(given, per_lang=20)
+    assert set(some_langs) <= set(langs) and "en" in some_langs
+    assert np.allclose(np.linalg.norm(some, axis=1), 1)
+    assert not np.allclose(every[langs.index("en")], some[some_langs.index("en")])
+    assert np.allclose(some, lang_id.train_prototypes(given.repartition(3), per_lang=20)[1])
+
+
+def test_the_pipeline_rejects_by_the_prediction(spark, documents):
+    """What is in no learned language goes; short texts and those of a learned language stay."""
+    foreign = "".join(chr(0x430 + i % 32) + " " * (i % 6 == 0) for i in range(300))
+    given = rows(documents.select("doc_id", "text", "lang"))
+    more = [(10_000, foreign, None), (10_001, foreign[:20], None), (10_002, "漢字仮名" * 30, None), (10_003, "abc " * 3, None), (10_004, None, "en")]
+    kept = {r["doc_id"] for r in keep_identified(spark.createDataFrame(given + more, "doc_id long, text string, lang string")).collect()}
+    assert kept >= {10_001, 10_003} and not kept & {10_000, 10_002, 10_004}
+    score = {r["doc_id"]: r["score"] for r in identify_languages(documents).collect()}
+    letters = {i: sum(c.isalpha() for c in t or "") for i, t, _ in given}
+    assert {i for i, *_ in given} - kept == {i for i in score if not letters[i] or letters[i] >= lang_id.LEAST_LETTERS and score[i] < lang_id.LEAST_SCORE}
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(lang_id, "MOST_LANGS", 2)
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2"):
+        identify_languages(docs)

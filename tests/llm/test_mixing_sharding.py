@@ -73,8 +73,29 @@ def test_mixed_rows_repeat_what_is_taken(odd_clashing):
     assert mix_rows(odd_clashing).columns == odd_clashing.columns
 
 
-def test_a_larger_budget_takes_more_of_the_same():
-    assert mixing.BITS * mixing.LEVELS == 30
+def test_a_larger_budget_takes_more_of_the_same(spark):
+    """Several budgets for one source, by what another brings to be shared: what they take is nested."""
+    docs = [(i, "w " * (1 + i * 7 % 23), "b") for i in range(300)]
+    taken = []
+    for other in (5000, 1500, 400, 20):
+        df = spark.createDataFrame([*docs, (1000, "v " * other, "c")], "doc_id long, text string, source string")
+        taken.append({r["doc_id"]: r["taken"] for r in mix_digest(df).collect() if r["doc_id"] < 1000})
+    taken.sort(key=lambda x: -sum(x.values()))
+    assert len({sum(x.values()) for x in taken}) == 4
+    assert all(less[i] <= more[i] for more, less in zip(taken, taken[1:], strict=False) for i in more)
+
+
+def test_no_row_is_taken_more_than_three_times(spark):
+    """Rows without words in a source at its cap, whose only words are in another row."""
+    docs = spark.createDataFrame([(i, "w " * 10, "a") for i in range(90)] + [(200 + i, None, "z") for i in range(8)] + [(300, "one word", "z")], "doc_id long, text string, source string")
+    times = Counter(r["doc_id"] for r in mix_rows(docs).collect())
+    assert max(times.values()) <= 3 and times[300] == 3
+
+
+def test_many_sources(spark):
+    """Sources of all sizes, closed in several rounds."""
+    docs = spark.createDataFrame([(i, "w " * (i * i % 57), f"s{i * 7919 % 83:03d}") for i in range(400)], "doc_id long, text string, source string")
+    check_mix(docs)
 
 
 def check_shards(docs, n=8):
@@ -110,6 +131,68 @@ def test_sharding(odd_clashing, documents, empty, monkeypatch):
     assert max(sums.values()) <= 1.05 * min(sums.values())
 
 
+def brute_difference(parts):
+    """The method word for word: a list searched anew for the two largest spreads each time."""
+    n = len(parts[0])
+    pool = [(k, sorted((size, [(k, place)]) for place, size in enumerate(p))) for k, p in enumerate(parts)]
+    born = len(parts)
+    while len(pool) > 1:
+        pool.sort(key=lambda x: (x[1][0][0] - x[1][-1][0], x[0]))
+        (_, a), (_, b) = pool.pop(0), pool.pop(0)
+        both = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)]
+        pool.append((born, sorted(both, key=lambda x: x[0])))
+        born += 1
+    moved = [[0] * n for _ in parts]
+    for shard, (_, slots) in enumerate(pool[0][1]):
+        for k, place in slots:
+            moved[k][place] = shard
+    return [x[0] for x in pool[0][1]], moved
+
+
+def test_differencing_equals_brute_force():
+    import random
+
+    random.seed(8)
+    for n, shards in ((1, 8), (2, 3), (17, 8), (200, 8), (90, 2)):
+        parts = [(random.choice([5, 5, 5, 90, 1000, random.randint(1, 10**6)]),) + (0,) * (shards - 1) for _ in range(n)]
+        assert difference(parts) == brute_difference(parts)
+        partial = [tuple(sorted(random.randint(0, 50) for _ in range(shards))) for _ in range(n)]
+        assert difference(partial) == brute_difference(partial)
+
+
+def test_shards_equal_brute_force(spark, documents, monkeypatch):
+    """The query's shards by the method over chunks, worked out apart, and what the chunks cost in spread."""
+    from pyspark.sql import functions as F
+
+    sizes = {}
+    for r in sharding.keyed(documents).collect():
+        sizes[r["k1"], r["k2"]] = sizes.get((r["k1"], r["k2"]), 0) + r["size"]
+    key_of = {(r["doc_id"], r["text_crc32"]): (r["k1"], r["k2"]) for r in sharding.keyed(documents).collect()}
+    spreads = []
+    for chunk in (20_000, 40):
+        monkeypatch.setattr(sharding, "CHUNK", chunk)
+        n = max(1, round(len(sizes) / chunk))
+        of = {r["k1"]: r["c"] for r in spark.createDataFrame([(k,) for k, _ in sizes], "k1 long").select("k1", F.pmod(F.xxhash64("k1"), F.lit(n)).alias("c")).collect()}
+        chunks = defaultdict(list)
+        for key in sizes:
+            chunks[of[key[0]]].append(key)
+        placed, sums = {}, {}
+        for c, keys in chunks.items():
+            keys.sort(key=lambda k: (-sizes[k], k))
+            sums[c], moved = brute_difference([(sizes[k],) + (0,) * 7 for k in keys])
+            placed |= {k: (c, m[0]) for k, m in zip(keys, moved, strict=True)}
+        _, moved = brute_difference([tuple(sums[c]) for c in sorted(sums)])
+        home = dict(zip(sorted(sums), moved, strict=True))
+        found = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in shard_documents(documents).collect()}
+        assert found == {i: home[placed[k][0]][placed[k][1]] for i, k in key_of.items()}
+        total = Counter()
+        for k, (c, place) in placed.items():
+            total[home[c][place]] += sizes[k]
+        spreads.append(max(total.values()) - min(total.values()))
+    # one run over all groups, and five chunks of a few dozen: differencing never widens the largest spread
+    assert spreads[0] <= spreads[1] <= max(sizes.values()) and spreads[0] <= 1e-4 * sum(sizes.values())
+
+
 def test_differencing_known_case():
     """8, 7, 6, 5, 4 in two: the method gives 16 and 14 (the best is 15 and 15)."""
     sums, moved = difference([(x, 0) for x in (8, 7, 6, 5, 4)])

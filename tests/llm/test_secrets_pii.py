@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 from math import log2
 
 from marlstone.llm.pii import find_personal_data, sanitise
-from marlstone.llm.secrets import BASE_KINDS, find_secrets, scan_secrets
+from marlstone.llm import secrets
+from marlstone.llm.secrets import BASE_KINDS, KINDS, find_secrets, read_ledger, scan_secrets, scan_twice
 
 from .conftest import multiset, rows
 
@@ -18,7 +19,7 @@ SECRETS = [
 ]
 PERSONAL = [
     "mail a.b%c@x-y.example.org, and a@b.c%d@e.f @x.y a@b u@v..w ü@d.de x@y.z.",
-    "ip 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8.9 001.002.003.255 1.2.3 .5.6.7.8 99999999999999999999.1.1.1 0256.1.1.1",
+    "ip 10.0.0.7 0.0.0.0 00.0.000.0 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8.9 001.002.003.255 1.2.3 .5.6.7.8 99999999999999999999.1.1.1 0256.1.1.1",
     "card 4111 1111 1111 1111, 4111-1111-1111-1111 4111111111111112 5500000000000004 4111  1111 1 2 3-4-5-6-7-8-9-0-1-2-3-4",
     "phone +49 (30) 1234-567. +1-2 +12345678 +123456789 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 +++49 30 123456789- x",
     "ä€😀 +49 30 1234567 ä€😀 a@b.de " + "7" * 5000 + " " + "a" * 5000 + " a@c.de",
@@ -63,33 +64,75 @@ def test_further_secret_kinds():
     assert [k for _, k, _ in find_secrets(b"eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK")] == [4]
 
 
+PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*?-----END [A-Z ]{0,30}PRIVATE KEY-----", re.ASCII)
+
+
+def brute_spans(t):
+    """All kinds, the further ones by plain search over the text's code points."""
+    found = brute_secrets(t) + [(m.start(), 3, m.end()) for m in PEM.finditer(t)]
+    i = 0
+    while (i := t.find("eyJ", i)) >= 0:
+        parts, j = [], i
+        for _ in range(3):
+            k = j
+            while k < len(t) and (t[k].isascii() and t[k].isalnum() or t[k] in "_-"):
+                k += 1
+            parts.append(k - j)
+            j = k + 1
+            if k >= len(t) or t[k] != ".":
+                break
+        before = t[i - 1] if i else " "
+        if len(parts) == 3 and parts[0] >= 11 and min(parts[1:]) >= 8 and not (before.isascii() and before.isalnum() or before in "_-"):
+            end = i + sum(parts) + 2
+            found.append((i, 4, end))
+            i = end
+        else:
+            i += 1
+    return sorted(found)
+
+
 def check_secrets(docs, found):
     expected = []
     for i, t in rows(docs.select("doc_id", "text")):
         base = brute_secrets(t or "")
         n = Counter(k for _, k, _ in base)
-        expected.append((i, n[0], n[1], n[2], hashlib.sha256(text_of(base, BASE_KINDS).encode()).hexdigest()))
-    assert multiset(r[:5] for r in rows(found)) == multiset(expected)
+        expected.append((i, n[0], n[1], n[2], hashlib.sha256(text_of(base, BASE_KINDS).encode()).hexdigest(), text_of(brute_spans(t or ""), KINDS)))
+    assert multiset(rows(found)) == multiset(expected)
+
+
+FURTHER = [
+    "-----BEGIN RSA PRIVATE KEY-----\nABCD\n-----END RSA PRIVATE KEY----- -----BEGIN PRIVATE KEY-----a=-----END EC PRIVATE KEY----- -----BEGIN X PRIVATE KEY-----!-----END X PRIVATE KEY-----",
+    "ü eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK eyJshort.a.b xeyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK token=eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK",
+]
 
 
-def test_secrets(spark, odd_clashing, documents, empty):
-    more = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS * 2)], "doc_id long, text string")
+def test_secrets(spark, odd_clashing, documents, empty, tmp_path):
+    more = spark.createDataFrame([(i, t) for i, t in enumerate((SECRETS + FURTHER) * 2)], "doc_id long, text string")
     for docs in (odd_clashing, documents, more):
-        check_secrets(docs, scan_secrets(docs)[0])
-    assert rows(scan_secrets(empty)[0]) == []
+        check_secrets(docs, scan_twice(docs))
+    assert rows(scan_twice(empty)) == [] and rows(scan_secrets(empty, str(tmp_path / "none"))) == []
+
+
+def test_the_ledger_spares_known_blobs(spark, tmp_path, monkeypatch):
+    path, scanned = str(tmp_path / "ledger"), []
+    picked = secrets._picked
+    monkeypatch.setattr(secrets, "_picked", lambda *given: scanned.append(sorted(t for _, t, _ in rows(picked(*given)))) or picked(*given))
+    first = spark.createDataFrame([(1, SECRETS[0]), (2, "nothing"), (3, SECRETS[0]), (4, None), (None, "nothing")], "doc_id long, text string")
+    check_secrets(first, scan_secrets(first, path))
+    # further versions of known paths, a copy of a known blob, and a new one
+    second = first.unionByName(spark.createDataFrame([(1, SECRETS[1]), (6, "nothing"), (1, SECRETS[1])], first.schema))
+    check_secrets(second, scan_secrets(second, path))
+    check_secrets(second, scan_secrets(second, path))
+    assert scanned == [["", "nothing", SECRETS[0]], [SECRETS[1]] * 2]
+    check_secrets(second, scan_secrets(second, path, rule_version="next"))
+    assert len(scanned) == 3 and sorted(set(scanned[2])) == sorted(["", "nothing", *SECRETS[:2]])
+    assert read_ledger(spark, path).count() == read_ledger(spark, path, "next").count() == 4
 
 
-def test_the_ledger_spares_known_blobs(spark):
-    first = spark.createDataFrame([(1, SECRETS[0]), (2, "nothing"), (3, SECRETS[0]), (4, None)], "doc_id long, text string")
-    _, ledger = scan_secrets(first)
-    assert ledger.count() == 3
-    second = first.unionByName(spark.createDataFrame([(5, SECRETS[1]), (6, "nothing")], first.schema))
-    found, fresh = scan_secrets(second, ledger)
-    assert [bytes(r["blob"]) for r in fresh.collect()] == [hashlib.sha256(SECRETS[1].encode()).digest()]
-    check_secrets(second, found)
-    found, fresh = scan_secrets(second, ledger, rule_version="next")
-    assert fresh.count() == 4
-    check_secrets(second, found)
+def test_all_ways_of_choosing_texts(spark, documents, tmp_path, monkeypatch):
+    for way, most in enumerate((1 << 30, 100, 0)):
+        monkeypatch.setattr(secrets, "BROADCAST_KEYS", most)
+        check_secrets(documents, scan_secrets(documents, str(tmp_path / str(way))))
 
 
 def test_personal_data(spark, odd_clashing, documents, empty):
@@ -135,6 +178,16 @@ def test_terms_that_disclose_an_entity(spark):
     assert "anna" not in clean[0] and "[EMAIL]" in clean[0] and "Frau" not in clean[0] and clean[101] == "Schmidtke allein" and clean[102] == ""
 
 
+def test_sanitised_rows_stay_rows(spark, odd_clashing, empty):
+    """Null and repeated doc_ids, several texts of one doc_id, extra columns."""
+    docs = spark.createDataFrame([(None, "a@b.de ja"), (1, "a@b.de ja"), (1, "ruf +49 30 1234567 an"), (1, "a@b.de ja"), (2, "nichts"), (None, None)], "doc_id long, text string")
+    found = multiset(rows(sanitise(docs, find_personal_data(docs, 2.0))))
+    assert found == multiset([(None, "[EMAIL] ja"), (1, "[EMAIL] ja"), (1, "ruf [PHONE] an"), (1, "[EMAIL] ja"), (2, "nichts"), (None, "")])
+    clean = sanitise(odd_clashing, find_personal_data(odd_clashing))
+    assert clean.columns == odd_clashing.columns and clean.count() == odd_clashing.count()
+    assert rows(sanitise(empty, find_personal_data(empty))) == []
+
+
 def test_entities_of_one_text_are_protected(spark):
     """By the definition over all pairs, with copies, shared entities and a text with many of them."""
     common = "der Garten und das Haus wegen der Sache"

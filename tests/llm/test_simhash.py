@@ -115,8 +115,27 @@ def test_wide_fingerprint_begins_with_the_narrow_one():
 
 
 def test_wider_blocks_for_larger_corpora():
-    small, large = simhash.wide_for(1000), simhash.wide_for(10**9)
-    assert small["width"] == 24 and large["width"] == 36 and large["tables"] > small["tables"] >= 140
+    """The present setting up to half a billion sets; beyond it at most 32 chance neighbours a key."""
+    assert simhash.wide_for(0) == simhash.wide_for(200_000) == simhash.wide_for(1 << 28) == simhash.WIDE
+    for n in (10**9, 10**10, 10**11):
+        large = simhash.wide_for(n)
+        assert n / 2 ** large["width"] <= 32 and large["tables"] > simhash.WIDE["tables"]
+        assert 1 - (1 - (1 - 0.1514) ** large["width"]) ** large["tables"] >= 0.985
+
+
+def test_more_blocks_for_more_fingerprints(documents):
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 10**10, 10**14)] == [6, 6, 8, 8, 12]
+    expected = multiset(rows(simhash_components(documents)))
+    assert multiset(rows(simhash_components(documents, blocks=8))) == expected
+    rng = np.random.default_rng(1)
+    for blocks in (7, 8):
+        tables = pigeonhole_tables(64, blocks, 4)
+        for _ in range(100):
+            flipped = rng.choice(64, 4, replace=False)
+            assert any(not np.isin(flipped, t).any() for t in tables)
+
+
+def test_sampled_tables():
     tables = simhash.sampled_tables(1024, 24, 150)
     assert len(tables) == 150 and all(len(set(t.tolist())) == 24 for t in tables)
 

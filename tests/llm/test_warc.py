@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import re
 from pathlib import Path
 
 import pytest
@@ -69,6 +70,25 @@ def test_files_are_plain_warc(spark, pages, tmp_path):
     assert data.count(b"WARC-Record-ID") >= 20
 
 
+def test_records_are_unique_and_revisits_refer_to_records(spark, pages, tmp_path):
+    write_warc(pages, str(tmp_path / "w"), 1000)
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted(Path(tmp_path / "w").glob("part-*")))
+    ids = re.findall(rb"WARC-Record-ID: <(\S+)>", data)
+    assert len(ids) == len(set(ids))
+    refers = re.findall(rb"WARC-Refers-To: <(\S+)>\r\nX-Refers-To-Page-ID: (-?\d+)", data)
+    assert len(refers) == sum(r[3] == "revisit" for r in brute(rows(pages)))
+    heads = [dict(x.split(b": ", 1) for x in r.split(END)[0].split(b"\r\n") if b": " in x) for r in data.split(b"WARC/1.1\r\n")]
+    page = {h[b"WARC-Record-ID"][1:-1]: h.get(b"X-Page-ID") for h in heads if h.get(b"WARC-Type") == b"response"}
+    assert all(page[i] == p for i, p in refers)
+
+
+def test_no_shuffled_row_holds_a_record(pages):
+    """Payloads are cut before the shuffle: what is sent is pieces of a chunk at most."""
+    plan = chunk_table(pages, 1000)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :]
+    assert "substring" in join and join.index("Join") < join.index("substring")
+
+
 def test_damage_is_found():
     block = b"HTTP/1.1 200 OK\r\n\r\nabc"
     good = hashlib.sha256(b"abc").hexdigest()
