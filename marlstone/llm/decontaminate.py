@@ -23,16 +23,19 @@ from .common import arrow, column_bytes, grams, mix
 EDITS, SHORT = 0.2, 8
 #: Random walks and hash tables.
 WALKS, TABLES = 16, 64
-#: Items up to so many words -> sampled places of a key. A walk loses its way after some edits, so longer items,
-#: with more edits, take fewer places; the q-gram bound keeps their candidates few. Measured recall of a single
+#: Items up to so many words -> sampled places of a key, and the steps of a walk, in item sizes, that they come
+#: from (a walk leaves an item after about two). A walk loses its way after some edits, so longer items, with
+#: more edits, take fewer places; the q-gram bound keeps their candidates few. Measured recall of a single
 #: window at the full 20 % of edits: see README.
-PLACES = ((64, 6), (160, 4), (400, 3), (1000, 2), (1 << 62, 1))
+PLACES = ((64, 6, 3.0), (160, 3, 1.8), (400, 2, 1.8), (1 << 62, 1, 1.8))
 #: Items that one pass takes (about 1 KB each in every task), and bytes of their texts; a larger benchmark
 #: takes several passes.
 BLOCK, BLOCK_BYTES = 20_000, 32 << 20
 #: Windows embedded at once, numbers that their embeddings and edit distances may take, and words (of whole
 #: texts) looked through at once.
 CHUNK, CELLS, RUN = 2048, 16 << 20, 200_000
+#: Windows of items above this size are compared one at a time, guided by the distances known so far.
+DENSE = 128
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 HITS = "doc_id long, item_id long, start_word int, n_words int, distance int"
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xA24BAED4963EE407)]
@@ -94,14 +97,15 @@ def _signatures(ids: np.ndarray, at: np.ndarray, size: np.ndarray, classes: np.n
     for cut in _bounded(classes[order], lambda n: 3 * n * WALKS):
         own = order[cut]
         n = classes[own]
-        embedded = embed(ids, at[own], size[own], 3 * int(n.max()))
+        kind = np.searchsorted([m for m, _, _ in PLACES], n)
+        places, span = np.array([k for _, k, _ in PLACES])[kind], np.array([x for _, _, x in PLACES])[kind] * n
+        embedded = embed(ids, at[own], size[own], int(np.ceil(span.max())))
         windows = np.arange(len(n))
-        places = np.array([k for _, k in PLACES])[np.searchsorted([m for m, _ in PLACES], n)]
         with np.errstate(over="ignore"):
             for t in range(TABLES):
                 key = n.astype(np.uint64)
                 for p in range(int(places.max())):
-                    read = embedded[(_SAMPLED[t, p] * 3 * n).astype(np.int64), t % WALKS, windows]
+                    read = embedded[(_SAMPLED[t, p] * span).astype(np.int64), t % WALKS, windows]
                     key = np.where(p < places, mix(key * _C[0] + (read + 2).astype(np.uint64)), key)
                 out[t, own] = key
     return out
@@ -235,16 +239,49 @@ class Index:
         w, item = w[same], item[same]
         for m in np.unique(n[w]).tolist():
             own = np.flatnonzero(n[w] == m)
+            if m > DENSE:
+                self._descend(ids, starts, at[w[own]], size[w[own]], doc[w[own]], item[own], best)
+                continue
             for cut in _bounded(np.full(len(own), m), lambda k: 4 * k):
                 x, y = w[own[cut]], item[own[cut]]
-                places = np.arange(m)
-                window = np.where(places < size[x][:, None], ids[np.minimum(at[x][:, None] + places, len(ids) - 1)], -1)
-                distance = edit_distances(self.ids[self.at[y][:, None] + places], window)
+                distance = self._distances(ids, at[x], size[x], y)
                 for i in np.flatnonzero(distance <= self.most[y]).tolist():
                     pair = (int(doc[x[i]]), int(y[i]))
                     found = (int(distance[i]), int(at[x[i]] - starts[pair[0]]), int(size[x[i]]))
                     best[pair] = min(best.get(pair, found), found)
 
+    def _distances(self, ids, at, size, item) -> np.ndarray:
+        """Edit distances of windows and items of one size."""
+        places = np.arange(int(self.size[item[0]]))
+        window = np.where(places < size[:, None], ids[np.minimum(at[:, None] + places, len(ids) - 1)], -1)
+        return edit_distances(self.ids[self.at[item][:, None] + places], window)
+
+    def _descend(self, ids, starts, at, size, doc, item, best) -> None:
+        """The closest window of each document and item among the given ones, long ones, one distance at a time.
+
+        Windows whose starts are k words apart differ by 2 k edits at most, so a known distance bounds those
+        around it; what cannot be the closest, or is beyond the item's edits, need not be worked out."""
+        group = doc * len(self.size) + item
+        for g in np.unique(group).tolist():
+            own = np.flatnonzero(group == g)
+            own = own[np.argsort(at[own])]
+            pair = (int(doc[own[0]]), int(item[own[0]]))
+            most = int(self.most[pair[1]])
+            place, bound, done = at[own], np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+            while True:
+                limit, first = best[pair][:2] if pair in best else (most, 1 << 62)
+                open_ = ~done & ((bound < limit) | (bound == limit) & (place - starts[pair[0]] < first))
+                if not open_.any():
+                    break
+                least = np.flatnonzero(open_ & (bound == bound[open_].min()))
+                i = int(least[len(least) // 2])
+                done[i] = True
+                distance = int(self._distances(ids, at[own[i : i + 1]], size[own[i : i + 1]], item[own[i : i + 1]])[0])
+                bound = np.maximum(bound, distance - 2 * np.abs(place - place[i]))
+                if distance <= most:
+                    found = (distance, int(place[i] - starts[pair[0]]), int(size[own[i]]))
+                    best[pair] = min(best.get(pair, found), found)
+
 
 def _batch_hits(index: Index, ids_of: _Ids, texts: list) -> list[tuple[int, int, int, int, int]]:
     """Hits of a batch of texts, taken up in runs of bounded size."""

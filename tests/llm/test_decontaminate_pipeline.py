@@ -94,7 +94,7 @@ def enumerate_items(items):
 def test_long_items(spark):
     """Items of 5,000 words, within bounded memory: verbatim, edited in part, and another text."""
     rng = random.Random(2)
-    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(5000 if i == 1 else 300))) for i in (1, 2)]
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(n))) for i, n in ((1, 5000), (2, 300))]
     edited = []
     for _, t in items:
         w = t.split()
@@ -109,6 +109,23 @@ def test_long_items(spark):
     assert hits[10, 1] == (2, 5000, 0) and 0 < hits[11, 1][2] <= 110 and 0 < hits[12, 2][2] <= 8
 
 
+def test_closest_windows_of_long_items_equal_brute_force(monkeypatch):
+    """Repetitive words, so that many windows are near: the guided search gives what all distances give."""
+    rng = np.random.default_rng(6)
+    item = rng.integers(1, 6, 40)
+    for _ in range(12):
+        doc = rng.integers(1, 6, 150)
+        own = [x for x in item.tolist() if rng.random() > 0.08]
+        doc[30 : 30 + len(own)] = own
+        text = " ".join(f"w{x}" for x in doc).encode()
+        index = decontaminate.Index([(1, " ".join(f"w{x}" for x in item).encode())])
+        found = []
+        for dense in (0, 1000):
+            monkeypatch.setattr(decontaminate, "DENSE", dense)
+            found.append(decontaminate._batch_hits(index, decontaminate._Ids(index.vocabulary), [text]))
+        assert found[0] == found[1]
+
+
 def test_memory_is_bounded_whatever_the_item(monkeypatch):
     sizes = []
     embed = decontaminate.embed
