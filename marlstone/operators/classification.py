@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .protocol import running
+
 
 def per_class(pairs: DataFrame) -> DataFrame:
     """label, precision, recall, f1, support over true or predicted labels; division by zero gives 0."""
@@ -27,10 +29,11 @@ def summary(pairs: DataFrame) -> DataFrame:
 
 def one_vs_rest_auc(scores: DataFrame) -> DataFrame:
     """Rank statistic per class and its support. ``scores``: y_true, label, score (one row per item and class)."""
-    row = Window.partitionBy("label").orderBy("score")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("label", "score"))
-    ranked = scores.withColumn("rank", F.rank().over(row) + (ties - 1) / 2)
-    own = F.col("y_true") == F.col("label")
-    c = ranked.groupBy("label").agg(F.count_if(own).cast("double").alias("n"), F.count_if(~own).cast("double").alias("m"), F.coalesce(F.sum(F.when(own, F.col("rank"))), F.lit(0.0)).alias("ranks"))
+    own = F.count_if(F.col("y_true") == F.col("label"))
+    counts = scores.groupBy("label", "score").agg(F.count(F.lit(1)).alias("c"), own.alias("own"))
+    ranked = running(counts, ["label"], [F.col("score")], F.col("c"), "below")
+    # average rank of the rows of one score
+    rank = F.col("below") + (F.col("c") + 1) / 2
+    c = ranked.groupBy("label").agg(F.sum("own").cast("double").alias("n"), F.sum(F.col("c") - F.col("own")).cast("double").alias("m"), F.sum(F.col("own") * rank).alias("ranks"))
     auc = F.try_divide(F.col("ranks") - F.col("n") * (F.col("n") + 1) / 2, F.col("n") * F.col("m"))
     return c.select("label", F.coalesce(auc, F.lit(0.0)).alias("auc"), F.col("n").cast("long").alias("support"))

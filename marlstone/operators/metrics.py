@@ -13,6 +13,15 @@ def hits(ranking: DataFrame, relevance: DataFrame, user: str = "user_id") -> Dat
     return flagged.join(sizes, user, "left").withColumns({"hit": F.coalesce("hit", F.lit(0)), "n_relevant": F.coalesce("n_relevant", F.lit(0))})
 
 
+def label_hits(ranking: DataFrame, items: DataFrame, user: str = "user_id") -> DataFrame:
+    """``hits`` where all other items of the user's own label are relevant: the labels of the ranked rows are
+    compared and the label's count gives n_relevant, so no table of relevant pairs is made."""
+    sizes = items.groupBy("genre").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    own = items.select(F.col("track_id").alias(user), "genre").join(sizes, "genre").withColumnRenamed("genre", "__own")
+    rows = ranking.join(items.select("track_id", F.col("genre").alias("__genre")), "track_id").join(own, user)
+    return rows.withColumn("hit", (F.col("__genre") == F.col("__own")).cast("int")).select(*ranking.columns, "hit", "n_relevant")
+
+
 def ideal_dcg(n: Column) -> Column:
     return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
 

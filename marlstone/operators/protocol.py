@@ -40,6 +40,19 @@ def positions(df: DataFrame, *order: Column, name: str = "position") -> DataFram
     return ranged.withColumn("__nth", nth).join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__nth")).drop("__p", "__nth", "__start")
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], amount: Column, name: str = "before") -> DataFrame:
+    """Adds the sum of ``amount`` over the rows that come before in the given order, within each group of ``by``
+    (not null). Groups are cut by ranges of the order and only the ranges' sums meet, so no task holds a
+    group. The order has to be total, or rows that tie have to be equal."""
+    ranged = checkpoint(df.withColumn("__a", amount).repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "__p").agg(F.sum("__a").alias("__s"))
+    upto = F.sum("__s").over(Window.partitionBy(*by).orderBy("__p"))
+    starts = sums.select(*by, "__p", (upto - F.col("__s")).alias("__start"))
+    before = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("__own", F.coalesce(F.sum("__a").over(before), F.lit(0)))
+    return rows.join(starts, [*by, "__p"]).withColumn(name, F.col("__start") + F.col("__own")).drop("__a", "__p", "__start", "__own")
+
+
 def index_map(ids: DataFrame, column: str) -> DataFrame:
     """Dense positions from 0 in code-point order."""
     return positions(ids.select(column).distinct(), F.col(column))
@@ -60,22 +73,25 @@ def query_items(observed: DataFrame) -> DataFrame:
     return first_by(observed, ["user_id"], F.desc("score"), F.asc("track_id"))
 
 
-def candidate_pairs(users: DataFrame, catalogue: DataFrame, observed: DataFrame) -> DataFrame:
-    """catalogue minus observed, per user. A pair table by nature; score it in place or prefer
-    ``unobserved_topk``, which needs none."""
-    return users.select("user_id").join(catalogue.select("track_id")).join(observed.select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")
+#: Rows of the head of a ranking that are broadcast, at most (some 50 bytes each).
+BROADCAST_HEAD = 500_000
 
 
 def unobserved_topk(scored_items: DataFrame, observed: DataFrame, k: int) -> DataFrame:
     """Top k unobserved items of each user under one score for all users.
 
     A user with n observed items finds them among the first n + k of the common ranking, so those
-    ranks are joined and nothing else."""
+    ranks are joined and nothing else. All users want the first ranks: the head of the ranking that any
+    of them can reach goes to every task where it is small enough, else ranks are joined by a shuffle."""
     ranked = positions(scored_items.select("track_id", "score"), F.desc("score"), F.asc("track_id"), name="place")
     ranked = ranked.withColumn("place", (F.col("place") + 1).cast("int"))
     need = observed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    reach = (need.agg(F.max("n")).head()[0] or 0) + k
+    head = ranked.where(F.col("place") <= reach)
+    if reach <= BROADCAST_HEAD:
+        head = F.broadcast(head)
     places = need.select("user_id", F.explode(F.sequence(F.lit(1), (F.col("n") + k).cast("int"))).alias("place"))
-    open_ = places.join(ranked, "place").join(observed.select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")
+    open_ = places.join(head, "place").join(observed.select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("place"))
     return open_.withColumn("rank", nth).where(F.col("rank") <= k).select("user_id", "rank", "track_id", "score")
 

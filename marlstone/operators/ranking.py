@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of one block of a blocked search, and bytes of a block of queries that a task gets.
-BLOCK, QUERY_BYTES = 4096, 32 << 20
+#: Vectors in a block of a search, queries in a block, and scores that a task holds at once.
+BLOCK, QUERY_BLOCK, SCORES = 16_384, 4096, 1 << 22
 
 
 def rank_scores(scored: DataFrame, by: list[str], k: int | None = None, score: str = "score", item: str = "track_id", ties: Column | None = None) -> DataFrame:
@@ -45,52 +45,86 @@ def safe_unit(v: Column, least: float = 1e-8) -> Column:
     return F.when(n < least, v).otherwise(F.transform(v, lambda x: x / n))
 
 
-def _block_topk(k: int, ids: list[str], queries: np.ndarray, tie: Callable):
-    """Best k of a partition's vectors for each query of the block; ties go by ``tie`` of the id."""
-
+def _pack(batches):
+    """The vectors of each block as one row: ids, groups and a matrix of unit rows."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for block, name, group, vec in zip(*(batch.column(c).to_pylist() for c in ("block", "track_id", "grp")), batch.column("vec"), strict=True):
+            held.setdefault(block, []).append((name, group, np.asarray(vec.values.to_numpy(zero_copy_only=False), np.float64)))
+    for block, rows in held.items():
+        matrix = np.array([r[2] for r in rows])
+        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([[r[0] for r in rows]], pa.list_(pa.string())), pa.array([[r[1] for r in rows]], pa.list_(pa.string())), pa.array([matrix.tobytes()], pa.binary())], names=["block", "ids", "grps", "matrix"])
+
+
+def _best(k: int, ids: list, grps: list, queries: np.ndarray, names: list, own_grps: list, matrix: np.ndarray, tie: Callable):
+    """(query, name, score) of the best k names of one block for each query of another; nothing scores itself or,
+    where groups are given, anything of its own group."""
+    order = np.array(sorted(range(len(names)), key=lambda i: tie(names[i])), np.int64)
+    names, matrix = [names[i] for i in order], matrix[order]
+    places: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        places.setdefault(name, []).append(i)
+    same = [(q, i) for q, name in enumerate(ids) for i in places.get(name, ())]
+    code = {g: i for i, g in enumerate(dict.fromkeys([*grps, *own_grps]))} if grps[0] is not None else None
+    at_q, at_v = (np.array([code[g] for g in x]) for x in (grps, [own_grps[i] for i in order])) if code else (None, None)
+    step = max(1, SCORES // len(ids))
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(names), step):
+        scores = np.round(queries @ matrix[a : a + step].T, 9)
+        if code:
+            scores[at_q[:, None] == at_v[None, a : a + step]] = -np.inf
+        for q, i in same:
+            if a <= i < a + step:
+                scores[q, i - a] = -np.inf
+        least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+        q, i = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        kept.append((q, i + a, scores[q, i]))
+    q, i, score = (np.concatenate(x) for x in zip(*kept, strict=True))
+    order = np.lexsort((i, -score, q))
+    q, i, score = q[order], i[order], score[order]
+    first = np.searchsorted(q, q)
+    top = np.arange(len(q)) - first < k
+    return [ids[x] for x in q[top].tolist()], [names[x] for x in i[top].tolist()], score[top]
+
+
+def _search(k: int, tie: Callable):
     def run(batches):
-        best: list[list[tuple]] = [[] for _ in ids]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column("track_id").to_pylist()
-            matrix = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
-            matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-            for a in range(0, len(names), BLOCK):
-                scores = np.round(queries @ matrix[a : a + BLOCK].T, 9)
-                most = min(k + 1, scores.shape[1])
-                cut = np.partition(scores, scores.shape[1] - most, axis=1)[:, -most]
-                for q, (row, least) in enumerate(zip(scores, cut, strict=True)):
-                    found = [(-row[i], tie(names[a + i]), names[a + i]) for i in np.flatnonzero(row >= least).tolist() if names[a + i] != ids[q]]
-                    best[q] = sorted(best[q] + found)[:k]
-        rows = [(ids[q], name, -float(s)) for q, own in enumerate(best) for s, _, name in own]
-        columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["query_id", "track_id", "score"])
+            for r in range(batch.num_rows):
+                row = {f.name: batch.column(n)[r].as_py() for n, f in enumerate(batch.schema)}
+                queries, matrix = (np.frombuffer(row[m], np.float64).reshape(len(row[i]), -1) for m, i in (("q_matrix", "q_ids"), ("matrix", "ids")))
+                q, names, score = _best(k, row["q_ids"], row["q_grps"], queries, row["ids"], row["grps"], matrix, tie)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["query_id", "track_id", "score"])
 
     return run
 
 
-def blocked_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int | None = None, tie: Callable = str, ties: Column | None = None) -> DataFrame:
-    """Top k by cosine of each query among ``vectors`` (track_id, vec), the query itself left out. Equal
-    scores (to nine digits) go by id, or by ``tie`` of the id and the same rule as a column, ``ties``.
-
-    The queries go out in blocks of bounded bytes. Each partition keeps its own best k per query,
-    so what is shuffled is k rows per query and partition, never a pair of all with all."""
-    first = queries.select(F.size("vec")).head()
-    if first is None:
-        return queries.select(F.col("track_id").alias("query_id"), "track_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    count = queries.count()
-    blocks = blocks or max(1, -(-count * first[0] * 8 // QUERY_BYTES))
-    part, out = F.pmod(F.xxhash64("track_id"), F.lit(blocks)), None
-    for b in range(blocks):
-        rows = queries.where(part == b).select("track_id", "vec").collect()
-        if not rows:
-            continue
-        matrix = np.array([r["vec"] for r in rows], np.float64)
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        found = vectors.select("track_id", "vec").mapInArrow(_block_topk(k, [r["track_id"] for r in rows], matrix, tie), "query_id string, track_id string, score double")
-        out = found if out is None else out.unionByName(found)
-    return rank_scores(out, ["query_id"], k, ties=ties)
+def blocked_cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, blocks: int | None = None, tie: Callable = str, ties: Column | None = None, apart: str | None = None) -> DataFrame:
+    """Top k by cosine of each query among ``vectors`` (track_id, vec), the query itself left out, and with
+    ``apart`` all that has the query's value of that column. Equal scores (to nine digits) go by id, or by
+    ``tie`` of the id and the same rule as a column, ``ties``.
+
+    Queries and vectors are packed into blocks of bounded size on the executors, every block of queries meets
+    every block of vectors in a task of its own, and only the best k of each meeting are merged: no vector
+    passes through the driver and no pair table is made. An empty side gives no rows."""
+    n, m = vectors.count(), queries.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    v_blocks = max(1, -(-n // BLOCK), min(cores, n // 1000))
+    q_blocks = blocks or max(1, -(-m // QUERY_BLOCK))
+
+    def packed(df: DataFrame, count: int, seed: int) -> DataFrame:
+        grp = F.col(apart).cast("string") if apart else F.lit(None).cast("string")
+        rows = df.select("track_id", grp.alias("grp"), "vec", F.pmod(F.xxhash64(F.lit(seed), "track_id"), F.lit(count)).cast("int").alias("block"))
+        return rows.repartition(count, "block").mapInArrow(_pack, "block int, ids array<string>, grps array<string>, matrix binary")
+
+    q = packed(queries, q_blocks, 1).select("block", *(F.col(c).alias(f"q_{c}") for c in ("ids", "grps", "matrix")))
+    q = q.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)))).withColumnRenamed("block", "q_block")
+    v = packed(vectors, v_blocks, 2).withColumnRenamed("block", "v_block")
+    v = v.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    met = q.repartition(v_blocks * q_blocks, "v_block", "q_block").join(v.hint("shuffle_hash"), ["v_block", "q_block"])
+    found = met.select("q_ids", "q_grps", "q_matrix", "ids", "grps", "matrix").mapInArrow(_search(k, tie), "query_id string, track_id string, score double")
+    return rank_scores(found, ["query_id"], k, ties=ties)
 
 
 def pair_scores(vectors: DataFrame, score: Column, ordered: bool = True) -> DataFrame:

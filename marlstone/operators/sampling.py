@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .protocol import hash_order, positions
+from .protocol import hash_order, positions, running
 
 
 def hamilton(capacities: DataFrame, places: int, name: str = "genre", capacity: str = "capacity") -> DataFrame:
@@ -41,26 +41,24 @@ def fill_quotas(candidates: DataFrame, quotas: DataFrame, seed: int = 42) -> Dat
     """Candidates (track_id, genre, ok) in hash order: the first ``quota`` that succeed of each genre, then
     for what is missing the next successes of any genre in one global hash order. One pass, no loop."""
     good = candidates.where("ok").join(quotas.select("genre", "quota"), "genre")
-    own = F.row_number().over(Window.partitionBy("genre").orderBy(hash_order(seed, F.col("genre"), F.col("track_id")), "track_id"))
-    placed = good.withColumn("nth", own).withColumn("primary", F.col("nth") <= F.col("quota"))
+    own = running(good, ["genre"], [hash_order(seed, F.col("genre"), F.col("track_id")), F.col("track_id")], F.lit(1), "nth")
+    placed = own.withColumn("primary", F.col("nth") < F.col("quota"))
     missing = quotas.agg(F.sum("quota").alias("want")).join(placed.agg(F.count_if("primary").alias("have")))
-    anywhere = F.row_number().over(Window.partitionBy("primary").orderBy(hash_order(seed, F.lit("global"), F.col("track_id")), "track_id"))
-    filled = placed.withColumn("place", anywhere).join(F.broadcast(missing))
-    return filled.where(F.col("primary") | (F.col("place") <= F.col("want") - F.col("have"))).select("track_id", "genre", "primary")
+    filled = running(placed, ["primary"], [hash_order(seed, F.lit("global"), F.col("track_id")), F.col("track_id")], F.lit(1), "place").join(F.broadcast(missing))
+    return filled.where(F.col("primary") | (F.col("place") < F.col("want") - F.col("have"))).select("track_id", "genre", "primary")
 
 
 def balanced_sample(tracks: DataFrame, n: int, least: int, seed: int = 42) -> DataFrame:
     """``least`` of every genre that has as many, then round-robin over the genres, to n tracks."""
     counts = tracks.groupBy("genre").count().where(F.col("count") >= least).select("genre")
-    order = Window.partitionBy("genre").orderBy(hash_order(seed, F.col("genre"), F.col("track_id")), "track_id")
-    rows = tracks.join(F.broadcast(counts), "genre", "left_semi").withColumn("nth", F.row_number().over(order))
-    first = F.when(F.col("nth") <= least, 0).otherwise(F.col("nth"))
+    rows = tracks.join(counts, "genre", "left_semi")
+    rows = running(rows, ["genre"], [hash_order(seed, F.col("genre"), F.col("track_id")), F.col("track_id")], F.lit(1), "nth")
+    first = F.when(F.col("nth") < least, 0).otherwise(F.col("nth"))
     return rows.orderBy(first, hash_order(seed, F.col("genre")), "nth").limit(n).select("track_id", "genre")
 
 
 def stratified_folds(rows: DataFrame, label: str, item: str, k: int, seed: int = 42) -> DataFrame:
-    order = Window.partitionBy(label).orderBy(hash_order(seed, F.col(item)), item)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    return running(rows, [label], [hash_order(seed, F.col(item)), F.col(item)], F.lit(1), "nth").withColumn("fold", F.col("nth") % k).drop("nth")
 
 
 def shuffled_folds(rows: DataFrame, item: str, k: int, seed: int = 42) -> DataFrame:
@@ -72,14 +70,14 @@ def shuffled_folds(rows: DataFrame, item: str, k: int, seed: int = 42) -> DataFr
 
 def time_split(rows: DataFrame, order: list, by: list[str], test_share: float = 0.2) -> DataFrame:
     """The first floor(n (1 - share)) rows in time train, the rest test, per group."""
-    group = Window.partitionBy(*by)
-    nth, n = F.row_number().over(group.orderBy(*order)), F.count(F.lit(1)).over(group)
-    return rows.withColumn("part", F.when(nth <= F.floor(n * F.lit(1 - test_share)), "train").otherwise("test"))
+    nth = running(rows, by, [F.col(c) for c in order], F.lit(1), "nth")
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    train = F.col("nth") < F.floor(F.col("n") * F.lit(1 - test_share))
+    return nth.join(n, by).withColumn("part", F.when(train, "train").otherwise("test")).drop("nth", "n")
 
 
 def subsamples(users: DataFrame, sizes: list[int], seeds: list[int], item: str = "user_id") -> DataFrame:
     """(size, seed, item): the first ``size`` in each seed's hash order."""
     rows = users.select(item).withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds))))
-    nth = F.row_number().over(Window.partitionBy("seed").orderBy(F.sha2(F.concat_ws(":", "seed", item), 256), item))
-    rows = rows.withColumn("nth", nth).where(F.col("nth") <= max(sizes))
-    return rows.withColumn("size", F.explode(F.array(*(F.lit(s) for s in sizes)))).where("nth <= size").select("size", "seed", item)
+    rows = running(rows, ["seed"], [F.sha2(F.concat_ws(":", "seed", item), 256), F.col(item)], F.lit(1), "nth").where(F.col("nth") < max(sizes))
+    return rows.withColumn("size", F.explode(F.array(*(F.lit(s) for s in sizes)))).where("nth < size").select("size", "seed", item)

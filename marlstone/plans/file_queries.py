@@ -14,7 +14,7 @@ from ..operators import metrics as M
 from ..operators import ranking as R
 from ..sources import files, sinks
 from ..sources import tables as T
-from .ranking_queries import _POP_TOP, _popular_top10, _relevance
+from .ranking_queries import _POP_TOP, _popular_top10
 from .registry import INTER, TRACKS, VECTORS, query
 
 
@@ -123,10 +123,10 @@ def _arm_sql(name, at, n):
 def ablation_arms(spark, sf):
     """One search per channel subset, then the precision of each arm."""
     v = T.vectors(spark, sf)
-    truth, out = _relevance(v), None
+    out = None
     for name, (at, n) in _ARMS.items():
         arm = v.select("track_id", F.slice("vec", at, n).alias("vec"))
         top = R.blocked_cosine_topk(arm, arm, 5).withColumnRenamed("query_id", "user_id")
-        p = M.per_user(M.hits(top, truth), (5,)).agg(F.round(F.avg("precision"), 6).alias("precision_at_5")).select(F.lit(name).alias("arm"), "precision_at_5")
+        p = M.per_user(M.label_hits(top, v), (5,)).agg(F.round(F.avg("precision"), 6).alias("precision_at_5")).select(F.lit(name).alias("arm"), "precision_at_5")
         out = p if out is None else out.unionByName(p)
     return out

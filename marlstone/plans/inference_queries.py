@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classification as C
 from ..operators import inference as I
+from ..operators import protocol as P
 from ..operators import ranking as R
 from ..sources import tables as T
 from .ranking_queries import _nearest
@@ -61,8 +62,6 @@ def centroid_prediction(spark, sf):
 
 @query("CL-08 SP-08 ML-19", f"with {_NN} select fold, count(*) n, round(avg((y_true=y_pred)::int),6) accuracy from p group by fold")
 def fold_accuracy(spark, sf):
-    from ..operators import protocol as P
-
     v = T.vectors(spark, sf)
     order = Window.partitionBy("genre").orderBy(P.hash_order(42, F.col("track_id")), "track_id")
     folds = v.select(F.col("track_id").alias("query_id"), (F.row_number().over(order) % 5).cast("long").alias("fold"))
@@ -86,10 +85,16 @@ def _diffs(spark, sf):
     return rows.select(F.concat_ws("-", "at", "bt").alias("pair"), "user_id", F.round(F.col("av") - F.col("bv"), 3).alias("d"))
 
 
-@query("IN-01 IN-04 IN-06 CL-07", f"with {_DIFF} select pair, count(*) n, round(avg(d),6) mean, round(stddev_samp(d),6) std, round(avg(d)/stddev_samp(d),6) cohens_d, round(avg(d)/stddev_samp(d)*sqrt(count(*)),6) t from d group by pair")
+#: p values by Simpson's rule over the densities of Student's t and of the normal distribution.
+_SIMPSON = "abs({0})/4000/3*list_sum(list_transform(range(0,4001), lambda i: (case when i=0 or i=4000 then 1 when i%2=1 then 4 else 2 end)*{1}))"
+_T_P = "1-2*exp(lgamma(n/2)-lgamma((n-1)/2))/sqrt((n-1)*pi())*" + _SIMPSON.format("t", "power(1+power(t*i/4000,2)/(n-1),-n/2)")
+_Z_P = "1-sqrt(2/pi())*" + _SIMPSON.format("z", "exp(-power(z*i/4000,2)/2)")
+
+
+@query("IN-01 IN-04 IN-06 CL-07", f"with {_DIFF}, s as (select pair, count(*) n, avg(d) mean, stddev_samp(d) std from d group by pair), u as (select *, mean/std*sqrt(n) t from s) select pair, n, round(mean,6) mean, round(std,6) std, round(mean/std,6) cohens_d, round(t,6) t, round({_T_P},6) p_value from u")
 def paired_t(spark, sf):
     t = I.paired_t(_diffs(spark, sf), ["pair"])
-    return t.select("pair", "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "cohens_d", "t")))
+    return t.select("pair", "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "cohens_d", "t", "p_value")))
 
 
 #: Zeros and ties: differences rounded to whole tens.
@@ -101,15 +106,15 @@ def _wilcoxon(spark, sf):
     return I.wilcoxon_pratt(coarse, ["pair"])
 
 
-@query("IN-03 IN-05", f"with {_COARSE} select pair, n, zeros, w_plus, w_minus, round(z,6) z, round(abs(z)/sqrt(n)*direction,6) r, direction from z")
+@query("IN-03 IN-05", f"with {_COARSE} select pair, n, zeros, w_plus, w_minus, round(z,6) z, round(abs(z)/sqrt(n)*direction,6) r, direction, round({_Z_P},6) p_value from z")
 def wilcoxon_z(spark, sf):
-    return _wilcoxon(spark, sf).withColumns({"z": F.round("z", 6), "r": F.round("r", 6)})
+    return _wilcoxon(spark, sf).withColumns({c: F.round(c, 6) for c in ("z", "r", "p_value")})
 
 
-@query("IN-07 IN-11", f"with {_COARSE}, p as (select pair, round(exp(-z*z/2),9) p from z), q as (select *, p*count(*) over ()/row_number() over (order by p) q from p) select pair, round(p,6) p, round(least(1,min(q) over (order by p range between current row and unbounded following)),6) adjusted, round(least(1, p*count(*) over ()),6) bonferroni from q")
+@query("IN-07 IN-11", f"with {_COARSE}, p as (select pair, round({_Z_P},9) p from z), q as (select *, p*count(*) over ()/row_number() over (order by p) q from p) select pair, round(p,6) p, round(least(1,min(q) over (order by p range between current row and unbounded following)),6) adjusted, round(least(1, p*count(*) over ()),6) bonferroni from q")
 def bh_adjust(spark, sf):
-    """Over the tail bound exp(-z^2 / 2), which SQL can express; p values proper are made on the driver."""
-    p = _wilcoxon(spark, sf).select("pair", F.round(F.exp(-F.col("z") * F.col("z") / 2), 9).alias("p"))
+    """The whole family of Wilcoxon tests, corrected once."""
+    p = _wilcoxon(spark, sf).select("pair", F.round("p_value", 9).alias("p"))
     whole = Window.partitionBy()
     both = I.benjamini_hochberg(p.withColumn("bonferroni", I.bonferroni(F.col("p"), whole)), [])
     return both.select("pair", *(F.round(c, 6).alias(c) for c in ("p", "adjusted", "bonferroni")))
@@ -120,28 +125,23 @@ def cliffs_delta(spark, sf):
     return I.cliffs_delta(T.read(spark, sf, "events"), "event_type", "value", "click", "view").select(F.round("delta", 9).alias("delta"))
 
 
-_BOOT = "v as (select event_type, row_number() over (partition by event_type order by event_id)-1 ix, value from events), n as (select min(c) n from (select count(*) c from v group by event_type)), few as (select v.* from v, n where ix<n.n and event_type in ('click','view')), draw as (select b, position, (('0x' || substr(sha256('42:' || b || ':' || position),1,12))::bigint) % n.n ix from range(50) x(b), n, range(100000) y(position) where position < n.n)"
-
-
-def _values(spark, sf):
-    order = Window.partitionBy("event_type").orderBy("event_id")
-    v = T.read(spark, sf, "events").select("event_type", (F.row_number().over(order) - 1).cast("long").alias("ix"), "value")
-    n = v.groupBy("event_type").count().agg(F.min("count").alias("n"))
-    return v.join(F.broadcast(n)).where("ix < n and event_type in ('click', 'view')").drop("n")
+_BOOT = "n as (select g, count(*) n from v group by g), draw as (select g, b, unnest(range(n)) position, n from n, range(50) x(b)), taken as (select g, b, ('0x' || substr(sha256('42:' || b || ':' || position),1,12))::bigint % n ix from draw), s as (select g, b, avg(value) s from taken join v using (g, ix) group by 1, 2)"
 
 
-@query("IN-08 IN-10 JN-14", f"with {_BOOT}, s as (select event_type, b, avg(value) s from draw join few using (ix) group by 1, 2) select event_type, round(quantile_cont(s,0.025),4) low, round(quantile_cont(s,0.975),4) high from s group by event_type")
+@query("IN-08 IN-10 JN-14", f"with v as (select event_type g, row_number() over (partition by event_type order by event_id)-1 ix, value from events where event_type in ('click','view')), {_BOOT} select g event_type, round(quantile_cont(s,0.025),4) low, round(quantile_cont(s,0.975),4) high from s group by g")
 def bootstrap_ci_hash(spark, sf):
-    ci = I.bootstrap_interval(_values(spark, sf), ["event_type"], F.avg("value"), 50)
+    """Each type over all of its own values."""
+    e = T.read(spark, sf, "events").where("event_type in ('click', 'view')").select("event_type", "event_id", "value")
+    v = P.running(e, ["event_type"], [F.col("event_id")], F.lit(1), "ix").select("event_type", F.col("ix").cast("long").alias("ix"), "value")
+    ci = I.bootstrap_interval(v, ["event_type"], F.avg("value"), 50)
     return ci.select("event_type", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("IN-09", f"with {_BOOT}, d as (select a.ix, a.value-b.value value from few a join few b on a.ix=b.ix and a.event_type='click' and b.event_type='view'), s as (select b, avg(value) s from draw join d using (ix) group by 1) select round(quantile_cont(s,0.025),4) low, round(quantile_cont(s,0.975),4) high from s")
+@query("IN-09", f"with {_DIFF}, v as (select 'all' g, row_number() over (order by user_id)-1 ix, d \"value\" from d where pair='click-view'), {_BOOT} select round(quantile_cont(s,0.025),4) low, round(quantile_cont(s,0.975),4) high from s")
 def bootstrap_pairwise(spark, sf):
-    v = _values(spark, sf)
-    a, b = (v.where(F.col("event_type") == t).select("ix", F.col("value").alias(n)) for t, n in (("click", "x"), ("view", "y")))
-    d = a.join(b, "ix").select(F.lit("all").alias("g"), "ix", (F.col("x") - F.col("y")).alias("value"))
-    ci = I.bootstrap_interval(d, ["g"], F.avg("value"), 50)
+    """Differences of the users who have both types."""
+    d = P.positions(_diffs(spark, sf).where("pair = 'click-view'"), F.col("user_id"), name="ix")
+    ci = I.bootstrap_interval(d.select(F.lit("all").alias("g"), F.col("ix").cast("long").alias("ix"), F.col("d").alias("value")), ["g"], F.avg("value"), 50)
     return ci.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 

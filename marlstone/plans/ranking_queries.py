@@ -9,6 +9,7 @@ from ..operators import metrics as M
 from ..operators import protocol as P
 from ..operators import ranking as R
 from ..sources import tables as T
+from ..storage import checkpoint
 from .registry import COSINE, INTER, RANKED, RATED, SPLIT, TRACKS, UNIT, USERS, VECTORS, query
 
 
@@ -18,12 +19,6 @@ def _top10(spark, sf):
     return v, top
 
 
-def _relevance(v):
-    """Other vectors of the same label."""
-    a = v.select(F.col("track_id").alias("user_id"), "genre")
-    return a.join(v.select("track_id", "genre"), "genre").where("user_id <> track_id").select("user_id", "track_id")
-
-
 _METRICS = (
     RANKED
     + """, sizes as (select genre, count(*)-1 n from vectors group by genre),
@@ -39,14 +34,14 @@ _METRICS = (
 @query("MT-01 MT-02 MT-03 MT-04 MT-05 JN-07", f'with {_METRICS} select user_id, k, round("precision",6) "precision", round(recall,6) recall, round(dcg,6) dcg, round(ndcg,6) ndcg, round(ap,6) ap from per_user')
 def user_metrics(spark, sf):
     v, top = _top10(spark, sf)
-    out = M.per_user(M.hits(top, _relevance(v)))
+    out = M.per_user(M.label_hits(top, v))
     return out.select("user_id", "k", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "dcg", "ndcg", "ap")))
 
 
 @query("MT-06 MT-11 MT-12 MT-13", f'with {_METRICS} select k, round(avg("precision"),6) "precision", round(avg(recall),6) recall, round(avg(ndcg),6) ndcg, round(avg(ap),6) map, count(*) users from per_user group by k')
 def ranking_metrics(spark, sf):
     v, top = _top10(spark, sf)
-    out = M.per_user(M.hits(top, _relevance(v)))
+    out = M.per_user(M.label_hits(top, v))
     return out.groupBy("k").agg(*(F.round(F.avg(c), 6).alias(n) for c, n in (("precision", "precision"), ("recall", "recall"), ("ndcg", "ndcg"), ("ap", "map"))), F.count(F.lit(1)).alias("users"))
 
 
@@ -91,8 +86,13 @@ _POP_TOP = (
 )
 
 
+def _split(spark, sf):
+    """Ids, score and part of each interaction, made once for all that reads them."""
+    return checkpoint(P.hash_split(T.interactions(spark, sf)).select("user_id", "track_id", "score", "split"))
+
+
 def _popular_top10(spark, sf):
-    split = P.hash_split(T.interactions(spark, sf))
+    split = _split(spark, sf)
     popular = split.where("split = 'train'").groupBy("track_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     observed = split.where("split <> 'test'")
     return split, popular, P.unobserved_topk(popular, observed, 10)
@@ -136,7 +136,7 @@ def withheld_split(spark, sf):
 @query("MT-17", f"with {RANKED}, ids as (select track_id from vectors), cold as (select track_id from ids order by sha256('42:cold:' || track_id), track_id limit (select floor(0.15*count(*))::bigint from ids)), f as (select query_id user_id, (c.track_id is not null)::int is_cold, (query_genre=genre)::int hit from top10 t left join cold c on c.track_id=t.track_id where rank<=5) select user_id, round(sum(is_cold)/5,6) cold_share, round(sum(is_cold*hit)/5,6) cold_hits, round(sum((1-is_cold)*hit)/5,6) warm_hits, round(sum(hit)/5,6) \"precision\" from f group by user_id")
 def cold_warm_decomposition(spark, sf):
     v, top = _top10(spark, sf)
-    flagged = M.hits(top, _relevance(v)).where("rank <= 5").join(P.cold_items(v).withColumn("cold", F.lit(1)), "track_id", "left")
+    flagged = M.label_hits(top, v).where("rank <= 5").join(P.cold_items(v).withColumn("cold", F.lit(1)), "track_id", "left")
     cold = F.coalesce("cold", F.lit(0))
     share = lambda c: F.round(F.sum(c) / 5, 6)
     return flagged.groupBy("user_id").agg(share(cold).alias("cold_share"), share(cold * F.col("hit")).alias("cold_hits"), share((1 - cold) * F.col("hit")).alias("warm_hits"), share(F.col("hit")).alias("precision"))
@@ -228,7 +228,7 @@ def same_genre_tracks(spark, sf):
 @query("WK-12 ML-18", f"with {_METRICS}, arms as (select k, avg(ndcg) metric from per_user group by k) select arg_min(k, (-round(metric,9), k)) arm, round(max(metric),6) metric from arms")
 def select_arm(spark, sf):
     v, top = _top10(spark, sf)
-    arms = M.per_user(M.hits(top, _relevance(v))).groupBy("k").agg(F.round(F.avg("ndcg"), 9).alias("metric"))
+    arms = M.per_user(M.label_hits(top, v)).groupBy("k").agg(F.round(F.avg("ndcg"), 9).alias("metric"))
     return arms.agg(F.min_by("k", F.struct(-F.col("metric"), F.col("k"))).alias("arm"), F.round(F.max("metric"), 6).alias("metric"))
 
 
@@ -251,14 +251,11 @@ def nearest_other_fold(spark, sf):
 
 
 def _nearest(spark, sf):
-    """1-NN among the vectors of other folds: a search per fold among the rest."""
+    """1-NN among the vectors of other folds: one search in which a fold does not see itself."""
     v = T.vectors(spark, sf)
     order = Window.partitionBy("genre").orderBy(P.hash_order(42, F.col("track_id")), "track_id")
     v = v.withColumn("fold", F.row_number().over(order) % 5)
-    out = None
-    for fold in range(5):
-        found = R.blocked_cosine_topk(v.where(F.col("fold") != fold), v.where(F.col("fold") == fold), 1)
-        out = found if out is None else out.unionByName(found)
+    out = R.blocked_cosine_topk(v, v, 1, apart="fold")
     truth, guess = v.select(F.col("track_id").alias("query_id"), F.col("genre").alias("y_true")), v.select("track_id", F.col("genre").alias("y_pred"))
     return out.join(truth, "query_id").join(guess, "track_id").select("query_id", "y_true", "y_pred")
 
@@ -268,7 +265,7 @@ def same_genre_retrieval(spark, sf):
     v, top = _top10(spark, sf)
     big = v.groupBy("genre").agg(F.count(F.lit(1)).alias("n")).where("n >= 45").select("genre")
     users = v.join(big, "genre", "left_semi").select(F.col("track_id").alias("user_id"))
-    return M.per_user(M.hits(top, _relevance(v)), (5,)).join(users, "user_id", "left_semi").select("user_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return M.per_user(M.label_hits(top, v), (5,)).join(users, "user_id", "left_semi").select("user_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 _SEEDS = (
@@ -314,7 +311,7 @@ def stability_by_seed(spark, sf):
 @query("MT-18 MT-20", f'with {_METRICS}, again as (select query_id user_id, sum(hit)/5 p from flagged where rank<=5 group by 1) select count(*) checked, sum((abs(p-"precision")>1e-15)::int)::bigint differing from again join per_user using (user_id) where k=5')
 def metric_audit(spark, sf):
     v, top = _top10(spark, sf)
-    flagged = M.hits(top, _relevance(v))
+    flagged = M.label_hits(top, v)
     again = flagged.where("rank <= 5").groupBy("user_id").agg((F.sum("hit") / 5).alias("p"))
     both = again.join(M.per_user(flagged, (5,)), "user_id")
     return both.agg(F.count(F.lit(1)).alias("checked"), F.sum((F.abs(F.col("p") - F.col("precision")) > 1e-15).cast("int")).alias("differing"))
@@ -330,16 +327,16 @@ def overlap_report(spark, sf):
 @query("MT-22 ST-03", f"with {RANKED}, f as (select query_id, sum((query_genre=genre)::int)/5 p from top10 where rank<=5 group by query_id having count(distinct track_id)=5) select round(avg(p),6) mean_p5, count(*) users from f")
 def mean_precision_5(spark, sf):
     v, top = _top10(spark, sf)
-    lists = top.where("rank <= 5").groupBy("user_id").agg(F.collect_set("track_id").alias("recs"))
-    truth = _relevance(v).groupBy("user_id").agg(F.collect_set("track_id").alias("rel"))
-    p = lists.where(F.size("recs") == 5).join(truth, "user_id").select((F.size(F.array_intersect("recs", "rel")) / 5).alias("p"))
+    flagged = M.label_hits(top.where("rank <= 5"), v)
+    full = flagged.groupBy("user_id").agg(F.countDistinct("track_id").alias("n"), (F.sum("hit") / 5).alias("p"))
+    p = full.where("n = 5")
     return p.agg(F.round(F.avg("p"), 6).alias("mean_p5"), F.count(F.lit(1)).alias("users"))
 
 
 @query("JN-11 AG-24", f'with {_METRICS} select genre grp, count(*) n, round(avg(1-"precision"),6) mean, round(stddev_pop(1-"precision"),6) std from per_user p join vectors v on v.track_id=p.user_id where k=5 group by genre')
 def group_errors(spark, sf):
     v, top = _top10(spark, sf)
-    errors = M.per_user(M.hits(top, _relevance(v)), (5,)).select("user_id", (1 - F.col("precision")).alias("e"))
+    errors = M.per_user(M.label_hits(top, v), (5,)).select("user_id", (1 - F.col("precision")).alias("e"))
     named = errors.join(v.select(F.col("track_id").alias("user_id"), F.col("genre").alias("grp")), "user_id")
     return named.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("e"), 6).alias("mean"), F.round(F.stddev_pop("e"), 6).alias("std"))
 
