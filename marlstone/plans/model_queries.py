@@ -11,7 +11,9 @@ from ..operators import population as N
 from ..operators import protocol as P
 from ..operators import ranking as R
 from ..operators import sampling as S
+from ..sources import files, sinks
 from ..sources import tables as T
+from ..storage import checkpoint
 from .registry import INTER, RATED, TRACKS, USERS, VECTORS, query
 
 _CAP = f"{TRACKS}, cap as (select genre, count(*) capacity from tracks group by genre)"
@@ -201,16 +203,87 @@ def pca_embedding(spark, sf):
     return M.pca_2d(T.vectors(spark, sf))
 
 
-@query("SP-13 SRC-14 SNK-08")
+#: The six genres of the driver's table under the names that the archetypes prefer.
+_MUSIC = {"STANDARD": "Rock", "PROMO": "Pop", "LARGE": "Electronic", "ECONOMY": "Hip-Hop", "MEDIUM": "Jazz", "SMALL": "Classical"}
+_USERS_N, _FALLBACK_N = 200, 50
+
+
+def _music(spark, sf):
+    names = F.create_map(*(F.lit(x) for pair in _MUSIC.items() for x in pair))
+    return T.tracks(spark, sf).select("track_id", F.coalesce(names[F.col("genre")], "genre").alias("genre"), "artist")
+
+
+def _u(*parts):
+    return "(('0x' || substr(sha256('2025:' || " + " || ':' || ".join(parts) + "),1,13))::bigint/4503599627370496.0)"
+
+
+def _normal(*parts):
+    return f"round(sqrt(-2*ln(1-{_u(*parts, chr(39) + 'u' + chr(39))}))*cos(2*pi()*{_u(*parts, chr(39) + 'v' + chr(39))}),9)"
+
+
+def _choice(at, options):
+    out, high = "case", 0.0
+    for name, share in options[:-1]:
+        high = round(high + share, 9)
+        out += f" when {at}<{high} then '{name}'"
+    return out + f" else '{options[-1][0]}' end"
+
+
+def _place(parts, size):
+    return f"(floor({_u(*parts, chr(39) + 'start' + chr(39))}*{size})::bigint + i*({N.STRIDES}::bigint[])[floor({_u(*parts, chr(39) + 'stride' + chr(39))}*{len(N.STRIDES)})::int+1]) % {size}"
+
+
+_KINDS = ", ".join(f"('{a}', {e}::double, {d}::double, {n}::double, {b}::double, {r}::double, {f}::varchar[])" for a, _, e, d, n, b, r, f in N.ARCHETYPES)
+_NOISY = ", ".join("least(1.0, greatest({0}, round({1}+0.1::double*{2},9)))::double {1}".format(0.1 if c == "engagement" else 0.0, c, _normal("user_id", f"'{c}'")) for c in N.PROFILE)
+_PROFILES = f"""{TRACKS}, tr as (select track_id, case genre {' '.join(f"when '{a}' then '{b}'" for a, b in _MUSIC.items())} else genre end genre, artist from tracks),
+ total as (select count(*) n from tr), genres as (select genre, count(*) size, row_number() over (order by genre)-1 genre_place from tr group by genre), g as (select count(*) g from genres),
+ kinds(archetype, engagement, diversity, novelty, bias, rate, focus) as (values {_KINDS}),
+ u0 as (select 'user_' || x user_id, {_choice(_u("'user_' || x", "'archetype'"), [a[:2] for a in N.ARCHETYPES])} archetype from range({_USERS_N}) t(x)),
+ u1 as (select user_id, archetype, {_NOISY}, rate, focus from u0 join kinds using (archetype)),
+ draws as (select user_id, unnest(range(least(floor(1+{_u('user_id', "'genres'")}*(greatest(2, least(4, g))-1)), g)::bigint)) i, g from u1, g where len(focus)=0),
+ drawn as (select user_id, list(genre order by i) drawn from (select user_id, i, {_place(['user_id', "'genre'"], 'g')} genre_place from draws) join genres using (genre_place) group by user_id),
+ users as (select user_id, archetype, engagement, diversity, novelty, bias, rate interaction_rate, coalesce(drawn, focus) preferred_genres, {_choice(_u('user_id', "'age'"), N.AGES)} age_group, {_choice(_u('user_id', "'frequency'"), N.FREQUENCIES)} listening_frequency,
+  least(greatest(1, floor(floor(engagement*rate*n*0.3::double)*(0.5+{_u('user_id', "'count'")}))), n)::bigint declared from u1 left join drawn using (user_id), total)"""
+_POPULATION = f"""{_PROFILES},
+ items as (select track_id, genre, artist, row_number() over (order by genre, track_id)-1 place, row_number() over (partition by genre order by track_id)-1 in_genre, (count(*) over (partition by genre)/n + count(*) over (partition by artist)/n)/2 popularity from tr, total),
+ own as (select user_id, declared, genre, size, sum(size) over (partition by user_id order by genre)::bigint upto, sum(size) over (partition by user_id)::bigint everything from (select user_id, declared, unnest(preferred_genres) genre from users) join genres using (genre)),
+ ones as (select distinct user_id, least(floor(declared*0.7::double)::bigint, everything) n, everything from own),
+ spots as (select user_id, {_place(['user_id', "'preferred'"], 'everything')} spot from (select user_id, everything, unnest(range(n)) i from ones)),
+ chosen as (select user_id, place from spots join own using (user_id) join items on items.genre=own.genre and in_genre=spot-upto+size where spot<upto and spot>=upto-size),
+ rest as (select user_id, declared, n, unnest(range(declared)) i from users, total),
+ others as (select user_id, declared, i, {_place(['user_id', "'any'"], 'n')} place from rest),
+ left_over as (select o.user_id, o.place, row_number() over (partition by o.user_id order by i) nth, declared - (select count(*) from chosen c where c.user_id=o.user_id) wanted from others o anti join chosen c on c.user_id=o.user_id and c.place=o.place),
+ pairs as (select user_id, place from chosen union all select user_id, place from left_over where nth<=wanted),
+ scored as (select user_id, track_id, genre, artist, least(1.0, round(bias*popularity + diversity*0.3::double*{_u('user_id', 'track_id', "'diversity'")} + novelty*0.2::double*{_u('user_id', 'track_id', "'novelty'")} + case when list_contains(preferred_genres, genre) then 0.3 else 0 end::double, 9))::double s from pairs join items using (place) join users using (user_id))"""
+
+
+@query("SP-13", f"with {_PROFILES} select * from users")
+def synthetic_users(spark, sf):
+    """The profiles of the population."""
+    return N.profiles(_music(spark, sf), _USERS_N)
+
+
+@query("SP-13 SRC-14 SNK-08", f"with {_POPULATION} select user_id, track_id, greatest(1, least(5, floor(1+4*s)::int)) rating, s interaction_score, round({_u('user_id', 'track_id', chr(39) + 'time' + chr(39))},9) \"timestamp\", genre, artist from scored")
 def synthetic_population(spark, sf):
-    return N.population(T.tracks(spark, sf), 200)[1]
+    """The interactions of 200 users, exported and scanned again."""
+    made = N.population(_music(spark, sf), _USERS_N)[1]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema)
+    back = sinks.round_trip(spark, lambda p: sinks.write_new(made, p), lambda p: files.parquet(spark, p, kinds))
+    return back.withColumn("timestamp", F.round("timestamp", 9))
 
 
-@query("SP-17")
+@query("SP-17", "select ''::varchar rule, 0::bigint n where false")
 def population_violations(spark, sf):
-    return N.violations(*N.population(T.tracks(spark, sf), 200))
+    tracks = _music(spark, sf)
+    return N.violations(*(checkpoint(x) for x in N.population(tracks, _USERS_N)), tracks, _USERS_N)
+
+
+_DOT = "+".join(f"v[{i + 1}]*p{i}" for i in range(5))
 
 
-@query("SP-18")
+@query("SP-18", f"with {VECTORS}, items as (select track_id, vec v, row_number() over (order by track_id)-1 place, count(*) over () n from vectors), raw as (select 'user_' || x user_id, "
+       + ", ".join(_normal("'user_' || x", f"'dim{i}'") + f" x{i}" for i in range(5))
+       + f" from range({_FALLBACK_N}) t(x)), one as (select user_id, " + ", ".join(f"(x{i}-avg(x{i}) over ())/stddev_pop(x{i}) over () p{i}" for i in range(5))
+       + f" from raw), draws as (select one.*, n, unnest(range(greatest(1, floor(0.3::double*n))::bigint)) i from one, (select any_value(n) n from items)), spots as (select *, {_place(['user_id', chr(39) + 'rated' + chr(39)], 'n')} place from draws) select user_id, track_id, greatest(1, least(5, trunc(round(3+2*({_DOT}),6))::int)) rating from spots join items using (place)")
 def fallback_ratings(spark, sf):
-    return N.fallback_ratings(T.vectors(spark, sf), 50)
+    return N.fallback_ratings(T.vectors(spark, sf), _FALLBACK_N)

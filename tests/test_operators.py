@@ -88,8 +88,6 @@ def test_unobserved_topk_equals_brute_force(spark):
         own[u].add(t)
     expected = {(u, i + 1): t for u in own for i, t in enumerate([t for t in order if t not in own[u]][:10])}
     assert found == expected
-    pairs = protocol.candidate_pairs(o.select("user_id").distinct(), s, o)
-    assert pairs.count() == sum(60 - len(x) for x in own.values())
 
 
 def test_seeds_ids_and_index(spark):
@@ -152,7 +150,7 @@ def test_inference_known_cases(spark):
     d = spark.createDataFrame([("z", float(a - b)) for a, b in zip(range(8), [0, 0, 3, 1, 4, 2, 8, 7], strict=True)], "g string, d double")
     w = inference.wilcoxon_pratt(d, ["g"]).head()
     assert (w["w_plus"], w["w_minus"]) == (19, 11)
-    assert w["z"] == pytest.approx(-0.5819, abs=1e-4) and inference.normal_p(w["z"]) == pytest.approx(0.5606, abs=1e-4) and w["r"] == pytest.approx(0.2057, abs=1e-4)
+    assert w["z"] == pytest.approx(-0.5819, abs=1e-4) and w["p_value"] == pytest.approx(0.5606, abs=1e-4) and w["r"] == pytest.approx(0.2057, abs=1e-4)
     assert inference.compare_models(d, ["g"]).head() == w
     with pytest.raises(ValueError, match="family"):
         inference.compare_models(d, ["g"], correction="bh")
@@ -225,9 +223,58 @@ def test_warp_learns_blocks():
 
 
 def test_population_is_sound(spark, sf):
-    from marlstone.sources import tables
+    from marlstone.plans.model_queries import _music
 
-    users, inter = population.population(tables.tracks(spark, sf), 40, per_user=10)
-    assert users.count() == 40 and rows(population.violations(users, inter)) == []
+    tracks = _music(spark, sf)
+    users, inter = (x.cache() for x in population.population(tracks, 40))
+    assert users.count() == 40 and rows(population.violations(users, inter, tracks, 40)) == []
+    declared = {r["user_id"]: r["declared"] for r in users.collect()}
+    assert dict(rows(inter.groupBy("user_id").count())) == declared
     broken = inter.withColumn("rating", F.lit(9)).unionByName(inter)
-    assert {r["rule"] for r in population.violations(users, broken).collect()} == {"repeated_pair", "rating_range", "rating_of_score"}
+    assert {r["rule"] for r in population.violations(users, broken).collect()} == {"repeated_pair", "rating_range", "rating_of_score", "declared_count"}
+    bad = users.withColumns({"archetype": F.lit("nobody"), "engagement": F.lit(0.05), "age_group": F.lit(None).cast("string"), "listening_frequency": F.lit("never")})
+    assert {r["rule"] for r in population.violations(bad, inter).collect()} >= {"archetype", "profile_range", "age_group", "listening_frequency"}
+    other = inter.withColumns({"track_id": F.concat(F.lit("x"), "track_id"), "timestamp": F.lit(2.0)})
+    assert {r["rule"] for r in population.violations(users.where("user_id <> 'user_1'"), other, tracks, 40).collect()} == {"outside_catalogue", "timestamp_range", "unknown_user", "user_ids"}
+    of_users = users.withColumn("preferred_genres", F.array(F.lit("Pop"), F.lit("Pop")))
+    assert "preferred_genres" in {r["rule"] for r in population.violations(of_users, inter).collect()}
+
+
+def test_every_user_gets_the_declared_number_whatever_the_genres(spark):
+    """A rare preferred genre is taken whole, and the rest comes from all that is left."""
+    tracks = spark.createDataFrame([(f"t{i}", "Rock" if i < 3 else "Folk", f"a{i % 7}") for i in range(400)], "track_id string, genre string, artist string")
+    users, inter = population.population(tracks, 30)
+    declared = {r["user_id"]: r["declared"] for r in users.collect()}
+    assert dict(rows(inter.groupBy("user_id").count())) == declared and inter.count() == inter.dropDuplicates(["user_id", "track_id"]).count()
+    rock = dict(rows(inter.where("genre = 'Rock'").groupBy("user_id").count()))
+    assert all(rock[r["user_id"]] == 3 for r in users.where("archetype = 'genre_specialist' and declared >= 6").collect())
+
+
+def test_p_values(spark):
+    """Known values, and Simpson's rule over the density."""
+    from math import erfc, exp, lgamma, pi, sqrt
+
+    def by_density(t, n):
+        f = lambda x: exp(lgamma((n + 1) / 2) - lgamma(n / 2)) / sqrt(n * pi) * (1 + x * x / n) ** (-(n + 1) / 2)
+        h = t / 20_000
+        return 1 - 2 * h / 3 * sum((1 if i in (0, 20_000) else 4 if i % 2 else 2) * f(i * h) for i in range(20_001))
+
+    given = [(t, n) for n in (1, 2, 5, 30, 1000, 100_000) for t in (0.0, 0.01, 0.7, 1.5, 2.5, 4.0)]
+    df = spark.createDataFrame(given, "t double, n int").select("t", "n", inference.student_p(F.col("t"), F.col("n")).alias("p"), inference.student_p(-F.col("t"), F.col("n")).alias("q"))
+    for t, n, p, q in rows(df):
+        assert p == q == pytest.approx(by_density(t, n) if t else 1.0, abs=1e-10), (t, n)
+    large = rows(spark.createDataFrame([(12.706204736, 1), (2.228138852, 10), (8.0, 10**9), (30.0, 50)], "t double, n int").select(inference.student_p(F.col("t"), F.col("n"))))
+    assert [r[0] for r in large[:2]] == pytest.approx([0.05, 0.05], abs=1e-9) and large[2][0] == pytest.approx(erfc(8 / sqrt(2)), rel=1e-5) and 0 < large[3][0] < 1e-30
+    z = [0.0, 0.3, 1.0, 1.959964, 3.0, 3.5, 3.6, 6.0, 12.0]
+    found = rows(spark.createDataFrame([(x,) for x in z], "z double").select(inference.normal_p(-F.col("z"))))
+    assert [r[0] for r in found] == pytest.approx([erfc(x / sqrt(2)) for x in z], rel=1e-11)
+    assert rows(spark.createDataFrame([(None, 3), (1.0, 0)], "t double, n int").select(inference.student_p(F.col("t"), F.col("n")))) == [(None,), (None,)]
+
+
+def test_running_counts_cross_ranges(spark):
+    random.seed(4)
+    given = [(random.choice("abc"), i, random.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(given, "g string, x int, n int").repartition(5)
+    found = {r["x"]: r["before"] for r in protocol.running(df, ["g"], [F.col("x")], F.col("n")).collect()}
+    assert found == {x: sum(m for h, y, m in given if h == g and y < x) for g, x, _ in given}
+    assert protocol.running(df.limit(0), ["g"], [F.col("x")], F.col("n")).count() == 0
