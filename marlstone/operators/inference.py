@@ -52,7 +52,7 @@ def student_p(t: Column, df: Column) -> Column:
     y = t * t / (n + t * t)
     # ln of gamma(a + 1/2) / gamma(a): asymptotic from a + 8 on, stepped down to a
     z = a + 8
-    ratio = F.log(z) / 2 - 1 / (8 * z) + 1 / (192 * z * z * z) - 1 / (640 * z * z * z * z * z)
+    ratio = F.log(z) / 2 - 1 / (8 * z) + 1 / (192 * z * z * z) - 1 / (640 * F.pow(z, F.lit(5.0))) + 17 / (14336 * F.pow(z, F.lit(7.0)))
     for i in range(8):
         ratio = ratio - F.log((a + i + 0.5) / (a + i))
     front = F.exp(a * F.log1p(-y) + F.log(y) / 2 + ratio) / math.sqrt(math.pi)
