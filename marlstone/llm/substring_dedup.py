@@ -143,20 +143,29 @@ def _reply(buckets: int, earlier: bool):
             several = np.zeros(int(group[-1]) + 1, bool)
             several[group[found | flag]] = True
             found = several[group]
-        return _batches(_answers(doc[found], h[found], buckets))
+        return doc[found], h[found]
+
+    def packed(parts):
+        return _batches(_answers(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets))
 
     def run(batches):
         held: list = []
+        parts: list = []  # answers of several buckets go out together, in rows of some size
         for batch in batches:
             question = batch.column("flags").is_valid()
             yield batch.filter(pc.invert(question))
             for row in batch.filter(question).to_pylist():
                 if held and row["bucket"] != held[-1]["bucket"]:
-                    yield from answered(held)
+                    parts.append(answered(held))
                     held = []
+                    if sum(len(d) for d, _ in parts) >= max(GATHER, 16 * buckets):
+                        yield from packed(parts)
+                        parts = []
                 held.append(row)
         if held:
-            yield from answered(held)
+            parts.append(answered(held))
+        if parts:
+            yield from packed(parts)
         give_back()
 
     return run
