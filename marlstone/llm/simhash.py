@@ -223,6 +223,8 @@ def simhash_components(docs: DataFrame, k: int = 4, most: int = 4, blocks: int |
 WIDE = {"k": 5, "bits": 1024, "width": 24, "tables": 235, "share": 0.19}
 #: Sets of at most so many shingles are too small for fingerprints and are found by common shingles.
 SHORT = 32
+#: Document ids (about 24 bytes each) that are broadcast, at most.
+BROADCAST_IDS = 2_000_000
 #: Texts of one part of a large group whose shingles are compared.
 SET_PART = 256
 
@@ -266,6 +268,12 @@ def _sets(k: int):
     return run
 
 
+def _join_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join by doc_id; texts move only where there are more ids than a task takes."""
+    ids = checkpoint(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash"), "doc_id", how)
+
+
 def _first_shingles(batches):
     """The first fifth (and one more) of each sorted set: two sets at 0.8 or more have one of these in common."""
     for batch in batches:
@@ -337,7 +345,7 @@ def similar_documents(docs: DataFrame, wide: dict | None = None) -> DataFrame:
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     groups = checkpoint(named.join(several, "key"))
     # one text of each set of a group; a doc_id may have other texts too
-    sets = arrow(texts.join(groups.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), _sets(wide["k"]), "id long, shingles binary")
+    sets = arrow(_join_ids(texts, groups.select("doc_id").distinct(), "left_semi"), _sets(wide["k"]), "id long, shingles binary")
     sets = sets.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"])
     long_edges = arrow(_deal(groups.select("key", "id"), sets, SET_PART), _compare, "u long, v long")
     short = sketches.where("shingles is not null").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
@@ -352,5 +360,5 @@ def drop_near_duplicates(docs: DataFrame, wide: dict | None = None) -> DataFrame
     """The documents without those that have a near-duplicate chain to a smaller doc_id. Texts without
     words are no copies of one another and stay, as do rows with a null doc_id; rows of one doc_id
     stay or go together. Empty tables give no rows; ``wide`` fixes the blocks that ``wide_for`` else chooses."""
-    gone = checkpoint(similar_documents(docs, wide).where("doc_id > least").select("doc_id").distinct())
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = similar_documents(docs, wide).where("doc_id > least").select("doc_id").distinct()
+    return _join_ids(docs, gone, "left_anti").select(*docs.columns)
