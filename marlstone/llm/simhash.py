@@ -179,7 +179,9 @@ def link_fingerprints(fps: DataFrame, tables: list[np.ndarray] | Callable[[int],
 
     Links join fingerprints of at most ``most`` differing bits that share a key in some table; a
     component's id is its smallest doc_id."""
-    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")))
+    # not merged into few partitions: each row becomes as many keys as there are tables
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    distinct = checkpoint(distinct.repartition(shuffle_partitions(fps.sparkSession), "fp"))
     tables = tables(distinct.count()) if callable(tables) else tables
     known = distinct.where("id is not null")
     # computed twice rather than kept: the keys are many times the fingerprints
