@@ -2,9 +2,10 @@
 
 Only distinct fingerprints are linked. Each is dealt to tables by the bits of some of its
 blocks; fingerprints that share a key in some table are compared. In a group nothing is
-paired out: a search from one fingerprint to all that are not yet reached leaves a spanning
-forest of the group's links, so a group of n near copies costs about n comparisons and gives
-at most n - 1 edges. Large groups are cut into parts, and every pair of parts is searched.
+paired out: first all are compared with the smallest, which joins most of a group at one
+comparison a row. Then those of different components meet; a search from one fingerprint to
+all that are not yet reached leaves a spanning forest of their links. Large groups are cut
+into parts, of which two that the stars have joined already do not meet.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .components import components
 
 #: Fingerprints of one part of a large group.
 PART = 4096
+#: Tables, at most, whose groups are joined by stars before all tables are searched.
+FIRST = 8
 _LANE = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -102,12 +105,12 @@ def _keys(tables: list[np.ndarray]):
             if not batch.num_rows:
                 continue
             bits = np.unpackbits(_lanes(batch.column("fp")).view(np.uint8), axis=1, bitorder="little")
-            n = len(bits)
             keys = [bits[:, t].astype(np.int64) @ (1 << np.arange(len(t), dtype=np.int64)) + (i << 40) for i, t in enumerate(tables)]
-            ids = np.tile(batch.column("id").to_numpy(zero_copy_only=False), len(tables))
-            keys = np.concatenate(keys)
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(ids[a : a + 100_000])], names=["key", "id"])
+            names = [x for x in batch.schema.names if x != "fp"]
+            kept = [np.tile(batch.column(x).to_numpy(zero_copy_only=False), len(tables)) for x in names]
+            columns = [np.concatenate(keys), *kept]
+            for a in range(0, len(kept[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns], names=["key", *names])
 
     return run
 
@@ -162,15 +165,51 @@ def _search(most: int):
     return run
 
 
+def _near(most: int):
+    """Links (u, v) of rows (id, fp, hub, hub_fp)."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            close = np.bitwise_count(_lanes(batch.column("fp")) ^ _lanes(batch.column("hub_fp"))).sum(1, dtype=np.int64) <= most
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hub")], names=["u", "v"]).filter(pa.array(close))
+
+    return run
+
+
+def _stars(keys: DataFrame, values: DataFrame, value: str, near) -> DataFrame:
+    """(id, c): each id of ``values`` with the component that the links of every key's rows (key, id) to the
+    smallest id of that key give. One comparison a row, so a large group costs no more than its rows."""
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = checkpoint(hubs.join(values.select(F.col("id").alias("hub"), F.col(value).alias(f"hub_{value}")), "hub"))
+    total = hubs.agg(F.sum("n")).head()[0] or 0
+    rows = spread_join(keys, hubs, ["key"], "n", total, "id").where("hub <> id").drop("key").join(values.select("id", value), "id")
+    found = components(arrow(rows.select("id", value, "hub", f"hub_{value}"), near, "u long, v long"))
+    return checkpoint(values.select("id").distinct().join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c")))
+
+
 def _deal(keys: DataFrame, values: DataFrame, part: int) -> DataFrame:
-    """Rows (key, p, q, id, ...) of all keys (key, id) that two or more have, with the columns of
-    ``values`` by id; every pair of parts of a key's rows stands together, sorted."""
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / part).cast("int")
-    dealt = keys.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    """Rows (key, p, q, id, ...) of all keys (key, id, c) that two or more components c have, with the columns
+    of ``values`` by id; of a key's rows every two of different components stand together somewhere, sorted.
+
+    The rows of a large key are cut into parts. Those of its largest component meet the others only."""
+    spark, rows = keys.sparkSession, F.count(F.lit(1))
+    # one exchange serves the statistics and the rows; the statistics name all columns, so that neither is narrowed
+    keys = keys.repartition(shuffle_partitions(spark), "key")
+    shared = keys.groupBy("key").agg(F.count("id").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    found = checkpoint(keys.join(shared.select("key", "n").hint("shuffle_hash"), "key"))
+    sizes = found.where(F.col("n") > part).groupBy("key", "c").agg(rows.alias("m"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("s")).select("key", F.col("s.m").alias("m"), F.col("s.c").alias("main"))
+    found = found.join(largest, "key", "left")
+    others, mains = (F.coalesce(F.ceil(x / part), F.lit(least)).cast("int") for x, least in ((F.col("n") - F.col("m"), 1), (F.col("m"), 0)))
+    is_main = F.coalesce(F.col("c") == F.col("main"), F.lit(False))
+    place = F.xxhash64("id", F.lit(5))
+    own = F.when(is_main, others + F.pmod(place, mains)).otherwise(F.pmod(place, others)).cast("int")
+    last = F.when(is_main, others - 1).otherwise(others + mains - 1)
+    dealt = found.select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id").join(values, "id")
-    return dealt.repartition(shuffle_partitions(keys.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+    return dealt.repartition(shuffle_partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
 
 
 def link_fingerprints(fps: DataFrame, tables: list[np.ndarray] | Callable[[int], list[np.ndarray]], most: int, part: int = PART) -> DataFrame:
@@ -184,10 +223,11 @@ def link_fingerprints(fps: DataFrame, tables: list[np.ndarray] | Callable[[int],
     distinct = checkpoint(distinct.repartition(shuffle_partitions(fps.sparkSession), "fp"))
     tables = tables(distinct.count()) if callable(tables) else tables
     known = distinct.where("id is not null")
-    # computed twice rather than kept: the keys are many times the fingerprints
-    keys = arrow(known, _keys(tables), "key long, id long")
-    dealt = _deal(keys, known, part)
-    labels = components(arrow(dealt, _search(most), "u long, v long"))
+    # what a few tables join already is not compared again
+    own = _stars(arrow(known.select("id", "fp"), _keys(tables[:FIRST]), "key long, id long"), known, "fp", _near(most))
+    keys = arrow(known.select("id", "fp").join(own, "id"), _keys(tables), "key long, id long, c long")
+    links = arrow(_deal(keys, known.select("id", "fp"), part), _search(most), "u long, v long")
+    labels = components(links.unionByName(own.select(F.col("id").alias("u"), F.col("c").alias("v"))))
     named = distinct.join(labels, F.col("id") == F.col("node"), "left")
     return named.select("fp", F.coalesce("component", "id").alias("component_id"), "rows")
 
@@ -229,6 +269,8 @@ SHORT = 32
 BROADCAST_IDS = 2_000_000
 #: Texts of one part of a large group whose shingles are compared.
 SET_PART = 256
+#: Sets of up to so many bytes are compared with one of their group first; of these at most ``HOT`` are broadcast.
+STAR_BYTES = 65_536
 
 
 def wide_for(n: int, recall: float = 0.986) -> dict:
@@ -310,6 +352,15 @@ def similar_edges(sets: list[np.ndarray], ids: list) -> tuple[list, list]:
     return a, b
 
 
+def _alike(batches):
+    """Links (u, v) of rows (id, shingles, hub, hub_shingles)."""
+    for batch in batches:
+        pairs = zip(column_bytes(batch.column("shingles")), column_bytes(batch.column("hub_shingles")), strict=True)
+        pairs = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs)
+        close = [9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)) for x, y in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hub")], names=["u", "v"]).filter(pa.array(close, pa.bool_()))
+
+
 def _compare(batches):
     """Edges within each run of rows of one group (key, p, q); rows come sorted by group."""
     held, ids, sets = None, [], []
@@ -339,7 +390,9 @@ def similar_documents(docs: DataFrame, wide: dict | None = None) -> DataFrame:
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = checkpoint(arrow(texts, _sketches(wide["k"], wide["bits"]), f"doc_id {kind}, id long, fp binary, shingles binary"))
-    fps = sketches.where("fp is not null").select(F.col("id").alias("doc_id"), "fp")
+    # whole numbers name fingerprints by doc_id, which is shorter on the way than the key of the set
+    name = F.col("doc_id").cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.col("id")
+    fps = sketches.where("fp is not null").select(name.alias("doc_id"), "fp")
     tables = lambda n: sampled_tables(wide["bits"], (chosen or wide_for(n))["width"], (chosen or wide_for(n))["tables"])
     labels = link_fingerprints(fps, tables, int(wide["share"] * wide["bits"]))
     named = sketches.where("fp is not null").groupBy("id").agg(F.any_value("fp").alias("fp"), F.min("doc_id").alias("doc_id"))
@@ -349,9 +402,14 @@ def similar_documents(docs: DataFrame, wide: dict | None = None) -> DataFrame:
     # one text of each set of a group; a doc_id may have other texts too
     sets = arrow(_join_ids(texts, groups.select("doc_id").distinct(), "left_semi"), _sets(wide["k"]), "id long, shingles binary")
     sets = sets.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    long_edges = arrow(_deal(groups.select("key", "id"), sets, SET_PART), _compare, "u long, v long")
+    sets = checkpoint(sets)
+    few = sets.where(F.length("shingles") <= STAR_BYTES)
+    stars = _stars(groups.select("key", "id").join(few.select("id"), "id", "left_semi"), few, "shingles", _alike)
+    grouped = groups.select("key", "id").join(stars, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    long_edges = arrow(_deal(grouped, sets, SET_PART), _compare, "u long, v long")
+    long_edges = long_edges.unionByName(stars.select(F.col("id").alias("u"), F.col("c").alias("v")))
     short = sketches.where("shingles is not null").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
-    short_edges = arrow(_deal(arrow(short, _first_shingles, "key long, id long"), short, SET_PART), _compare, "u long, v long")
+    short_edges = arrow(_deal(arrow(short, _first_shingles, "key long, id long").withColumn("c", F.col("id")), short, SET_PART), _compare, "u long, v long")
     joined = components(long_edges.unionByName(short_edges))
     members = sketches.select("doc_id", "id").join(joined, F.col("id") == F.col("node"), "left")
     members = checkpoint(members.select("doc_id", F.coalesce("component", "id").alias("component")))

@@ -88,6 +88,32 @@ def test_large_groups_are_cut_into_parts(spark):
     assert [found[x] for x in fps] == group
 
 
+def test_rows_of_different_components_meet(spark):
+    """Every two rows of a key with different components stand together; a key of one component is dropped,
+    and a large component costs its rows once for each part of the others."""
+    keys = [(1, i, 0 if i < 80 else i) for i in range(90)] + [(2, i, 0) for i in range(80)] + [(3, 1, 0), (3, 85, 85), (4, 7, 0)]
+    values = spark.createDataFrame([(i,) for i in range(90)], "id long")
+    dealt = rows(simhash._deal(spark.createDataFrame(keys, "key long, id long, c long"), values, 16).select("key", "p", "q", "id"))
+    together = {}
+    for key, p, q, i in dealt:
+        together.setdefault((key, p, q), set()).add(i)
+    for key, wanted in ((1, {(i, j) for i in range(90) for j in range(i) if i >= 80}), (3, {(85, 1)})):
+        met = {(i, j) for (k, _, _), ids in together.items() if k == key for i in ids for j in ids if i > j}
+        assert wanted <= met
+    assert {key for key, *_ in dealt} == {1, 3}
+    assert len([r for r in dealt if r[0] == 1]) == 80 + 10 * 6
+
+
+def test_a_dense_group_becomes_one_star(spark):
+    """Copies that differ in a word or two are joined before any two parts meet."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join([*base[: (k := int(rng.integers(200)))], f"x{i}", *base[k + 1 :]])) for i in range(700)]
+    docs += [(1000 + i, " ".join(f"y{i}_{j}" for j in range(60))) for i in range(5)]
+    kept = {r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {0, *range(1000, 1005)}
+
+
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (300, 300), (None, 5), (5, 4)]
     found = dict(rows(components(spark.createDataFrame(edges, "u long, v long"))))
