@@ -29,9 +29,15 @@ HOT = 1000
 
 
 def arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """``mapInArrow`` on workers that have this package, wherever the frame comes from."""
+    """``mapInArrow`` on workers that have this package, wherever the frame comes from. A task gives its memory
+    back at its end."""
     ship(df.sparkSession)
-    return df.mapInArrow(kernel, schema)
+
+    def run(batches):
+        yield from kernel(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def spread_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int, spread: str) -> DataFrame:

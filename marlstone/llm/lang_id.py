@@ -30,6 +30,10 @@ UNKNOWN = "und"
 LEAST_LETTERS, LEAST_SCORE = 40, 0.2
 
 
+#: Trigrams whose vectors are widened and summed at once (16 MB).
+BLOCK = 4096
+
+
 @functools.cache
 def _letters() -> np.ndarray:
     """For every code point whether it is a letter."""
@@ -109,7 +113,10 @@ class Profiler:
         # sums of whole numbers: exact in float32 up to 2^24, so longer texts are summed in float64
         kind = np.float32 if counts.sum() < 1 << 24 else np.float64
         rows = self._rows(keys)  # may replace the table
-        return counts.astype(kind) @ self.table[rows].astype(kind)
+        total = np.zeros(DIM, kind)
+        for a in range(0, len(rows), BLOCK):
+            total += counts[a : a + BLOCK].astype(kind) @ self.table[rows[a : a + BLOCK]].astype(kind)
+        return total
 
 
 def _train(batches):
