@@ -120,6 +120,29 @@ def test_components_of_chains_stars_and_rings(spark):
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {i: 200 for i in (200, 201, 202)}
 
 
+def test_components_of_random_graphs(spark, monkeypatch):
+    """Whether one task or many take the edges; against a search from every node."""
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-200, 200, (230, 2))] + [(500, x) for x in range(501, 560)] + [(559, 7), (500, 501)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    expected = {}
+    for x in sorted(near):
+        queue = [] if x in expected else [x]
+        while queue:
+            if (y := queue.pop()) not in expected:
+                expected[y] = x
+                queue += near[y]
+    for most in (100_000, 40):
+        monkeypatch.setattr("marlstone.llm.components.TASK_EDGES", most)
+        found = rows(components(spark.createDataFrame(edges, "u long, v long").repartition(3)))
+        assert len(found) == len(expected) and dict(found) == expected
+    assert rows(components(spark.createDataFrame([], "u long, v long"))) == []
+
+
 def test_near_copies_go_and_others_stay(spark, odd):
     rng = np.random.default_rng(3)
     base = [[f"w{rng.integers(5000)}" for _ in range(300)] for _ in range(40)]
