@@ -195,8 +195,9 @@ def _deal(keys: DataFrame, values: DataFrame, part: int) -> DataFrame:
 
     The rows of a large key are cut into parts. Those of its largest component meet the others only."""
     spark, rows = keys.sparkSession, F.count(F.lit(1))
-    # one exchange serves the statistics and the rows; the statistics name all columns, so that neither is narrowed
-    keys = keys.repartition(shuffle_partitions(spark), "key")
+    # one exchange serves the statistics and the rows; the statistics name all columns, so that neither is narrowed;
+    # most rows are components of their own, for which a null goes the way
+    keys = keys.select("key", "id", F.nullif("c", "id").alias("c")).repartition(shuffle_partitions(spark), "key").withColumn("c", F.coalesce("c", "id"))
     shared = keys.groupBy("key").agg(F.count("id").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     found = checkpoint(keys.join(shared.select("key", "n").hint("shuffle_hash"), "key"))
     sizes = found.where(F.col("n") > part).groupBy("key", "c").agg(rows.alias("m"))
