@@ -131,20 +131,27 @@ def spanning_edges(fps: np.ndarray, ids: np.ndarray, most: int) -> tuple[list, l
     return a, b
 
 
+def _between(a: list, b: list) -> pa.RecordBatch:
+    """The distinct links (u, v) between different components."""
+    pairs = np.array([a, b], np.int64).T.reshape(-1, 2)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
 def _search(most: int):
-    """Edges within each run of rows of one group; rows come sorted by group."""
+    """Links (u, v) of the components c that rows of one group have; rows come sorted by group."""
 
-    def edges(group, ids, fps):
+    def edges(group, names, fps):
         cuts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)])) if len(group) else np.empty(0, np.int64)
         sizes = np.diff(np.append(cuts, len(group)))
         two = cuts[sizes == 2]
         close = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1, dtype=np.int64) <= most
-        a, b = ids[two][close].tolist(), ids[two + 1][close].tolist()
+        a, b = names[two][close].tolist(), names[two + 1][close].tolist()
         for s, n in zip(cuts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            x, y = spanning_edges(fps[s : s + n], ids[s : s + n], most)
+            x, y = spanning_edges(fps[s : s + n], names[s : s + n], most)
             a += x
             b += y
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+        return _between(a, b)
 
     def run(batches):
         held = None
@@ -152,7 +159,7 @@ def _search(most: int):
             if not batch.num_rows:
                 continue
             group = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "p", "q")], axis=1)
-            rows = [group, batch.column("id").to_numpy(zero_copy_only=False), _lanes(batch.column("fp"))]
+            rows = [group, batch.column("c").to_numpy(zero_copy_only=False), _lanes(batch.column("fp"))]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             last = np.flatnonzero((rows[0] != rows[0][-1]).any(1))
@@ -190,7 +197,7 @@ def _stars(keys: DataFrame, values: DataFrame, value: str, near) -> DataFrame:
 
 
 def _deal(keys: DataFrame, values: DataFrame, part: int) -> DataFrame:
-    """Rows (key, p, q, id, ...) of all keys (key, id, c) that two or more components c have, with the columns
+    """Rows (key, p, q, id, c, ...) of all keys (key, id, c) that two or more components c have, with the columns
     of ``values`` by id; of a key's rows every two of different components stand together somewhere, sorted.
 
     The rows of a large key are cut into parts. Those of its largest component meet the others only."""
@@ -208,8 +215,8 @@ def _deal(keys: DataFrame, values: DataFrame, part: int) -> DataFrame:
     place = F.xxhash64("id", F.lit(5))
     own = F.when(is_main, others + F.pmod(place, mains)).otherwise(F.pmod(place, others)).cast("int")
     last = F.when(is_main, others - 1).otherwise(others + mains - 1)
-    dealt = found.select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id").join(values, "id")
+    dealt = found.select("key", "id", "c", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "c").join(values, "id")
     return dealt.repartition(shuffle_partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
 
 
@@ -363,22 +370,21 @@ def _alike(batches):
 
 
 def _compare(batches):
-    """Edges within each run of rows of one group (key, p, q); rows come sorted by group."""
-    held, ids, sets = None, [], []
+    """Links (u, v) of the components c that rows of one group (key, p, q) have; rows come sorted by group."""
+    held, names, sets = None, [], []
     for batch in batches:
         a, b = [], []
         groups = zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q")), strict=True)
-        for group, i, own in zip(groups, batch.column("id").to_pylist(), column_bytes(batch.column("shingles")), strict=True):
+        for group, c, own in zip(groups, batch.column("c").to_pylist(), column_bytes(batch.column("shingles")), strict=True):
             if group != held:
-                if len(ids) > 1:
-                    x, y = similar_edges(sets, ids)
+                if len(names) > 1:
+                    x, y = similar_edges(sets, names)
                     a, b = a + x, b + y
-                held, ids, sets = group, [], []
-            ids.append(i)
+                held, names, sets = group, [], []
+            names.append(c)
             sets.append(np.frombuffer(own, np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
-    a, b = similar_edges(sets, ids) if len(ids) > 1 else ([], [])
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+        yield _between(a, b)
+    yield _between(*(similar_edges(sets, names) if len(names) > 1 else ([], [])))
 
 
 def similar_documents(docs: DataFrame, wide: dict | None = None) -> DataFrame:
