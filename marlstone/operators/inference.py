@@ -137,8 +137,9 @@ def hash_draws(values: DataFrame, by: list[str], n_draws: int, seed: int = 42) -
 
 
 def bootstrap_interval(values: DataFrame, by: list[str], statistic: Column, n_draws: int = 200, seed: int = 42) -> DataFrame:
-    """2.5 and 97.5 linear percentiles of ``statistic`` over hash draws; ``values`` has by, ix, value."""
-    drawn = hash_draws(values, by, n_draws, seed).join(values, [*by, "ix"]).groupBy(*by, "b").agg(statistic.alias("s"))
+    """2.5 and 97.5 linear percentiles of ``statistic`` over hash draws; ``values`` has by, ix, value. The values
+    are the hashed side: Spark takes the exploded draws for as small as the values and would broadcast them."""
+    drawn = hash_draws(values, by, n_draws, seed).join(values.hint("shuffle_hash"), [*by, "ix"]).groupBy(*by, "b").agg(statistic.alias("s"))
     return drawn.groupBy(*by).agg(F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
 
 

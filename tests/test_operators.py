@@ -278,3 +278,15 @@ def test_running_counts_cross_ranges(spark):
     found = {r["x"]: r["before"] for r in protocol.running(df, ["g"], [F.col("x")], F.col("n")).collect()}
     assert found == {x: sum(m for h, y, m in given if h == g and y < x) for g, x, _ in given}
     assert protocol.running(df.limit(0), ["g"], [F.col("x")], F.col("n")).count() == 0
+
+
+def _joins(df):
+    """Kinds of the joins of the plan with their lines."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [line.strip(" :+-") for line in plan.splitlines() if "Join" in line]
+
+
+def test_bootstrap_draws_are_not_broadcast(spark):
+    values = spark.createDataFrame([("a", i, float(i)) for i in range(40)], "g string, ix long, value double")
+    drawn = [j for j in _joins(inference.bootstrap_interval(values, ["g"], F.avg("value"), 50)) if "ix" in j]
+    assert drawn and all(j.startswith("ShuffledHashJoin") for j in drawn)
