@@ -318,3 +318,32 @@ def test_seeded_queries_make_no_pair_table(spark, sf):
     from marlstone.plans import ranking_queries
 
     assert not any("NestedLoop" in j or "Cartesian" in j for j in _joins(ranking_queries._seeded(spark, sf)[1]))
+
+
+def test_block_pairs_equal_brute_force(spark):
+    m, v = _grouped(spark, 50, 64)
+    score = lambda a, b: lambda at, upto: [a.matrix[at:upto] @ b.matrix.T]
+    found = rows(pairs.block_pairs(v, None, pairs.pair_rows(score, ["s"]), "a string, b string, s double", 16))
+    expected = {(str(i), str(j)): m[i] @ m[j] for i in range(50) for j in range(50) if str(i) < str(j)}
+    assert len(found) == len(expected) and all(s == pytest.approx(expected[a, b]) for a, b, s in found)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    best = rows(pairs.block_pairs(v, None, pairs.best_pairs(7, 0.1), "a string, b string, s double", 16).orderBy(F.desc("s"), "a", "b").limit(7))
+    brute = sorted(((str(i), str(j), float(np.round(u[i] @ u[j], 6))) for i in range(50) for j in range(50) if str(i) < str(j) and i % 3 != j % 3), key=lambda x: (-x[2], x[0], x[1]))
+    assert best == brute[:7]
+
+
+def test_null_groups_are_null(spark):
+    from marlstone.plans import function_queries
+
+    _, v = _grouped(spark, 6, 64)
+    v = v.withColumn("grp", F.when(F.col("track_id") != "0", F.col("grp")))
+    score = function_queries._composite(lambda s: s)
+    found = rows(pairs.block_pairs(v, None, pairs.pair_rows(score, ["s"]), "a string, b string, s double", 2))
+    assert len(found) == 15 and {a for a, b, s in found if s is None} == {"0"}
+
+
+@pytest.mark.parametrize("name", ["pair_similarities", "composite_similarity", "temperature_scaled", "weighted_similarity", "weighted_row_softmax", "depth_weighted", "cross_genre_pairs"])
+def test_pair_queries_make_no_joined_arrays(spark, sf, name):
+    from marlstone import plans
+
+    assert not any("NestedLoop" in j or "Cartesian" in j for j in _joins(plans.queries()[name](spark, sf)))
