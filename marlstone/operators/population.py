@@ -56,6 +56,18 @@ def nth_place(seed: int, parts: list[Column], i: Column, size: Column) -> Column
     return (start + i.cast("long") * stride) % size
 
 
+def draw_places(users: DataFrame, seed: int, name: str, n: Column, size: Column) -> DataFrame:
+    """Rows of ``users`` with i from 0 to n - 1 and the i-th place out of ``size``. Start and stride are hashed
+    once a user, and users are dealt out, so that a few users' many draws do not share a task."""
+    spark, user = users.sparkSession, F.col("user_id")
+    dealt = users.repartition(4 * spark.sparkContext.defaultParallelism, "user_id")
+    start = F.floor(uniform(seed, user, F.lit(name), F.lit("start")) * size).cast("long")
+    stride = F.element_at(F.array(*(F.lit(s) for s in STRIDES)), F.floor(uniform(seed, user, F.lit(name), F.lit("stride")) * len(STRIDES)).cast("int") + 1)
+    dealt = dealt.withColumns({"__start": start, "__stride": stride, "__size": size.cast("long")})
+    rows = dealt.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    return rows.withColumn("at", (F.col("__start") + F.col("i") * F.col("__stride")) % F.col("__size")).drop("__start", "__stride", "__size")
+
+
 def _catalogue(tracks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Tracks with their place in the catalogue and in their genre, genres in order, and the number of tracks."""
     genres = tracks.groupBy("genre").agg(F.count(F.lit(1)).alias("size"))
@@ -105,7 +117,8 @@ def population(tracks: DataFrame, n_users: int = 200, seed: int = SEED) -> tuple
     most; the rating truncates 1 + 4 x score.
 
     Draws are places in numbered genres and in the numbered catalogue: a user's rows are the draws, never all
-    tracks, and each place is looked up by a join."""
+    tracks, and each place is looked up by a join. Spark takes exploded draws for as small as the users they come
+    from, so their joins are marked as merge joins: no draw is broadcast."""
     items, genres, n = _catalogue(tracks)
     users = checkpoint(_profiles(genres, n, n_users, seed))
     user, track = F.col("user_id"), F.col("track_id")
@@ -115,19 +128,17 @@ def population(tracks: DataFrame, n_users: int = 200, seed: int = SEED) -> tuple
     own = own.withColumn("to", F.sum("size").over(upto)).withColumn("all", F.sum("size").over(Window.partitionBy("user_id")))
     parts = own.groupBy("user_id", "declared", "all").agg(F.sort_array(F.collect_list(F.struct("to", "genre", "size"))).alias("parts"))
     first = parts.withColumn("n", F.least(F.floor(F.col("declared") * 0.7), F.col("all"))).where("n > 0")
-    first = first.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    first = first.withColumn("at", nth_place(seed, [user, F.lit("preferred")], F.col("i"), F.col("all")))
+    first = draw_places(first, seed, "preferred", F.col("n"), F.col("all"))
     part = F.element_at(F.filter("parts", lambda p: p["to"] > F.col("at")), 1)
     first = first.select("user_id", part["genre"].alias("genre"), (F.col("at") - part["to"] + part["size"]).alias("in_genre"))
-    first = checkpoint(first.join(items, ["genre", "in_genre"]).select("user_id", "place"))
+    first = checkpoint(first.join(items.hint("merge"), ["genre", "in_genre"]).select("user_id", "place"))
     taken = first.groupBy("user_id").agg(F.count(F.lit(1)).alias("taken"))
     # as many draws from the whole catalogue as there are interactions: those not yet taken suffice
     rest = users.select("user_id", "declared").join(taken, "user_id", "left").fillna(0, ["taken"])
-    rest = rest.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("declared") - 1)))
-    rest = rest.withColumn("place", nth_place(seed, [user, F.lit("any")], F.col("i"), F.lit(n))).join(first, ["user_id", "place"], "left_anti")
+    rest = draw_places(rest, seed, "any", F.col("declared"), F.lit(n)).withColumnRenamed("at", "place").join(first.hint("merge"), ["user_id", "place"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("i"))
     rest = rest.withColumn("nth", nth).where(F.col("nth") <= F.col("declared") - F.col("taken")).select("user_id", "place")
-    rows = first.unionByName(rest).join(items, "place").join(users.select("user_id", *PROFILE, "preferred_genres"), "user_id")
+    rows = first.unionByName(rest).join(items.hint("merge"), "place").join(users.select("user_id", *PROFILE, "preferred_genres"), "user_id")
     fits = F.array_contains("preferred_genres", F.col("genre"))
     score = F.col("bias") * F.col("popularity") + F.col("diversity") * 0.3 * uniform(seed, user, track, F.lit("diversity")) + F.col("novelty") * 0.2 * uniform(seed, user, track, F.lit("novelty")) + F.when(fits, 0.3).otherwise(0.0)
     rows = rows.withColumn("interaction_score", F.least(F.lit(1.0), F.round(score, 9)))
@@ -168,7 +179,7 @@ def violations(users: DataFrame, interactions: DataFrame, tracks: DataFrame | No
     records = interactions.join(users.select("user_id", "declared"), "user_id", "left")
     if tracks is not None:
         items = tracks.select("track_id", F.col("genre").alias("its_genre"), F.col("artist").alias("its_artist"))
-        records = records.join(items, "track_id", "left")
+        records = records.join(items.hint("merge"), "track_id", "left")
         of_record["outside_catalogue"] = F.col("its_genre").isNull()
         of_record["metadata"] = F.col("its_genre").isNotNull() & ((F.col("genre") != F.col("its_genre")) | (F.col("artist") != F.col("its_artist")))
     sums = lambda df, rules: df.agg(*(F.count_if(c).alias(k) for k, c in rules.items())).unpivot([], list(rules), "rule", "n")
@@ -194,4 +205,4 @@ def fallback_ratings(vectors: DataFrame, n_users: int, seed: int = SEED) -> Data
     draws = one.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, int(0.3 * n)) - 1).cast("long")))).where(F.lit(n > 0))
     draws = draws.withColumn("place", nth_place(seed, [user, F.lit("rated")], F.col("i"), F.lit(max(n, 1))))
     dot = F.aggregate(F.zip_with("v", "prefer", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return draws.join(items, "place").select("user_id", "track_id", F.greatest(F.lit(1), F.least(F.lit(5), F.round(3 + 2 * dot, 6).cast("int"))).alias("rating"))
+    return draws.join(items.hint("merge"), "place").select("user_id", "track_id", F.greatest(F.lit(1), F.least(F.lit(5), F.round(3 + 2 * dot, 6).cast("int"))).alias("rating"))

@@ -347,3 +347,11 @@ def test_pair_queries_make_no_joined_arrays(spark, sf, name):
     from marlstone import plans
 
     assert not any("NestedLoop" in j or "Cartesian" in j for j in _joins(plans.queries()[name](spark, sf)))
+
+
+def test_population_draws_are_not_broadcast(spark):
+    tracks = spark.createDataFrame([(f"t{i}", "Rock" if i % 2 else "Pop", f"a{i % 7}") for i in range(100)], "track_id string, genre string, artist string")
+    users, inter = population.population(tracks, 10)
+    for found in (inter, population.violations(users, inter, tracks, 10)):
+        drawn = [j for j in _joins(found) if "place" in j or "[track_id" in j]
+        assert drawn and all(j.startswith("SortMergeJoin") for j in drawn), drawn
