@@ -355,3 +355,18 @@ def test_population_draws_are_not_broadcast(spark):
     for found in (inter, population.violations(users, inter, tracks, 10)):
         drawn = [j for j in _joins(found) if "place" in j or "[track_id" in j]
         assert drawn and all(j.startswith("SortMergeJoin") for j in drawn), drawn
+
+
+def test_top_neighbours_equal_all_pairs(spark, monkeypatch):
+    """Items with more products than a step sums, several blocks; no pairs are joined."""
+    monkeypatch.setattr(models, "NEIGHBOUR_BLOCK", 20)
+    monkeypatch.setattr(models, "PRODUCTS", 30)
+    rng = np.random.default_rng(5)
+    data = [(f"u{u}", f"t{i:02d}", int(rng.integers(1, 6))) for u in range(25) for i in range(15) if rng.random() < 0.5]
+    df = spark.createDataFrame(data, "user_id string, track_id string, rating int")
+    pairs_ = models.cosine_neighbours(df, "track_id", "user_id").withColumn("similarity", F.round("similarity", 6))
+    both = pairs_.unionByName(pairs_.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    expected = ranking.rank_scores(both, ["a"], 4, score="similarity", item="b").select("a", "b", "rank", "similarity")
+    found = models.top_neighbours(df, "track_id", "user_id", 4)
+    assert {(a, b, r, round(s, 6)) for a, b, r, s in rows(found)} == {(a, b, r, round(s, 6)) for a, b, r, s in rows(expected)}
+    assert sum("user_id" in j for j in _joins(found)) == 0
