@@ -370,3 +370,11 @@ def test_top_neighbours_equal_all_pairs(spark, monkeypatch):
     found = models.top_neighbours(df, "track_id", "user_id", 4)
     assert {(a, b, r, round(s, 6)) for a, b, r, s in rows(found)} == {(a, b, r, round(s, 6)) for a, b, r, s in rows(expected)}
     assert sum("user_id" in j for j in _joins(found)) == 0
+
+
+def test_best_places_are_those_of_a_full_sort():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 10, 300):
+        s = rng.integers(0, 8, n).astype(float)
+        s[rng.random(n) < 0.2] = -np.inf
+        assert models.best_places(s, 10).tolist() == np.lexsort((np.arange(n), -s))[:10].tolist()
