@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import pairs as A
 from ..operators import protocol as P
 from ..operators import ranking as R
 from ..operators import stats as S
@@ -182,10 +183,9 @@ def timing_summary(spark, sf):
 
 @query("AG-33 JN-05", f"with {COSINE}, p as (select score from scored where query_id<track_id) select count(*) n, round(avg(score),6) mean, round(stddev_pop(score),6) std, round(min(score),6) min, round(max(score),6) max, round(quantile_cont(score,0.5),6) median, round(count(*) filter (abs(score)<0.1)/count(*),6) sparsity from p")
 def similarity_stats(spark, sf):
-    v = T.vectors(spark, sf).select("track_id", R.unit(F.col("vec")).alias("u"))
-    p = R.pair_scores(v, F.round(R.dot(F.col("a_u"), F.col("b_u")), 9))
-    s = F.col("score")
-    return p.agg(F.count(s).alias("n"), *(F.round(f, 6).alias(n) for n, f in (("mean", F.avg(s)), ("std", F.stddev_pop(s)), ("min", F.min(s)), ("max", F.max(s)), ("median", F.percentile(s, F.lit(0.5))), ("sparsity", F.count_if(F.abs(s) < 0.1) / F.count(s)))))
+    v = T.vectors(spark, sf).select("track_id", F.col("genre").alias("grp"), "vec")
+    found = A.cosine_summary(v)
+    return found.select("n", *(F.round(c, 6).alias(c) for c in found.columns[1:]))
 
 
 @query("AG-34", "with v as (select vec_id, embedding e from embeddings) select vec_id, list_position(list_transform(e, lambda x: abs(x)), list_max(list_transform(e, lambda x: abs(x)))) - 1 feature, round(e[list_position(list_transform(e, lambda x: abs(x)), list_max(list_transform(e, lambda x: abs(x))))]::double,6) weight from v")

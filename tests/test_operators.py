@@ -378,3 +378,14 @@ def test_best_places_are_those_of_a_full_sort():
         s = rng.integers(0, 8, n).astype(float)
         s[rng.random(n) < 0.2] = -np.inf
         assert models.best_places(s, 10).tolist() == np.lexsort((np.arange(n), -s))[:10].tolist()
+
+
+def test_cosine_summary_equals_all_pairs(spark, sf):
+    from marlstone.plans import stats_queries
+
+    m, v = _grouped(spark, 60, 5)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round((u @ u.T)[np.triu_indices(60, 1)], 9)
+    found = rows(pairs.cosine_summary(v))[0]
+    assert found == pytest.approx((len(s), s.mean(), s.std(), s.min(), s.max(), np.median(s), (np.abs(s) < 0.1).mean()), abs=1e-9)
+    assert not any("NestedLoop" in j for j in _joins(stats_queries.similarity_stats(spark, sf)))
