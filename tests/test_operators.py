@@ -389,3 +389,42 @@ def test_cosine_summary_equals_all_pairs(spark, sf):
     found = rows(pairs.cosine_summary(v))[0]
     assert found == pytest.approx((len(s), s.mean(), s.std(), s.min(), s.max(), np.median(s), (np.abs(s) < 0.1).mean()), abs=1e-9)
     assert not any("NestedLoop" in j for j in _joins(stats_queries.similarity_stats(spark, sf)))
+
+
+def test_recommend_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    u, v = rng.normal(size=(150, 4)).astype(np.float32), (rng.normal(size=(700, 4)) * rng.exponential(size=(700, 1))).astype(np.float32)
+    u[7], v[50:60], u[20] = 0, v[3], -u[21]
+    frame = lambda m: spark.createDataFrame([(10 * i, x.tolist()) for i, x in enumerate(m)], "id int, features array<float>").repartition(3)
+    monkeypatch.setattr(models, "SEARCH_STEP", 16)
+    s = (u.astype(float) @ v.T.astype(float)).astype(np.float32)
+    expected = {(10 * x, n + 1, 10 * int(i)) for x in range(150) for n, i in enumerate(np.lexsort((np.arange(700), -s[x]))[:10])}
+    found = rows(models.recommend(frame(u), frame(v), 10, per_task=40, chunk=32))
+    assert len(found) == 1500 and {r[:3] for r in found} == expected
+    assert all(abs(r[3] - s[r[0] // 10, r[2] // 10]) < 1e-5 for r in found)
+    assert len(rows(models.recommend(frame(u), frame(v[:4]), 10))) == 600
+
+
+def test_recommend_skips_items_that_cannot_enter():
+    rng = np.random.default_rng(4)
+    u, v = rng.normal(size=(50, 4)).astype(np.float32), rng.normal(size=(200, 4)).astype(np.float32)
+    search = models._Search(np.arange(50), u, 10)
+    search.meet(np.arange(200), v, float(np.linalg.norm(v, axis=1).max()))
+    kept = search.best.copy()
+    search.meet(np.arange(200, 400), np.full((200, 4), np.nan, np.float32), 1e-9)  # would spoil any list it met
+    assert (search.best == kept).all()
+
+
+def test_binary_matrix_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    pairs = [("u2", "t1"), ("u1", "t10"), ("u1", "t2"), ("u1", "t2"), ("u10", "t1")]
+    df = spark.createDataFrame(pairs, "user_id string, track_id string").mapInArrow(counted, "user_id string, track_id string")
+    found = models.binary_matrix(df).select("user_id", "track_id", "user_ix", "item_ix", "value")
+    assert sorted(rows(found)) == [("u1", "t10", 0, 1, 1.0), ("u1", "t2", 0, 2, 1.0), ("u10", "t1", 1, 0, 1.0), ("u2", "t1", 2, 0, 1.0)]
+    assert read.value == len(pairs)
