@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from marlstone import ship
 from marlstone.storage import checkpoint, shared_dir  # noqa: F401  (for the modules beside)
@@ -40,6 +42,28 @@ def arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of a batch that a kernel takes up at once, about.
+PORTION = 4 << 20
+
+
+def portions(batches):
+    """The same rows in batches of about ``PORTION`` bytes: a kernel's copies of long texts, and the buffers that the
+    JVM takes for what comes back, do not grow with a batch, of which Spark bounds the rows only."""
+    for batch in batches:
+        n = batch.num_rows
+        step = max(1, n * PORTION // max(batch.nbytes, PORTION))
+        for a in range(0, max(n, 1), step):
+            yield batch.slice(a, step)
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """The driver's rows as a table. They go as Arrow; a plain list would be passed through Python workers of the
+    executors, in a second set that stays there."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = zip(*rows, strict=True) if rows else [()] * len(kind)
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, kind, strict=True)], schema=kind), schema)
+
+
 def spread_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int, spread: str) -> DataFrame:
     """``rows`` left-joined to ``side``, which has one row for each key and the number ``n`` of rows that
     have it; ``total`` is the sum of ``n``.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, column_bytes, grams, mix
+from .common import arrow, column_bytes, grams, mix, portions
 
 #: Edits per word of an item; items of fewer words than ``SHORT`` match exactly or not at all.
 EDITS, SHORT = 0.2, 8
@@ -319,7 +319,7 @@ def _clean(items: list):
     def run(batches):
         index = Index(items)
         ids_of = _Ids(index.vocabulary)
-        for batch in batches:
+        for batch in portions(batches):
             keep = np.ones(batch.num_rows, bool)
             keep[[h[0] for h in _batch_hits(index, ids_of, column_bytes(batch.column("text")))]] = False
             yield batch.filter(pa.array(keep))

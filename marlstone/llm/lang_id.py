@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, column_bytes, mix
+from .common import arrow, column_bytes, local, mix, portions
 
 #: Length of the vectors and of the n-grams.
 DIM, N = 1024, 3
@@ -139,7 +139,7 @@ def train_prototypes(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[l
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()
     if len(counts) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} values of lang")
-    known = docs.sparkSession.createDataFrame([(r["lang"], per_lang / r["n"] * (1 << 30)) for r in counts], "known string, below double")
+    known = local(docs.sparkSession, [(r["lang"], per_lang / r["n"] * (1 << 30)) for r in counts], "known string, below double")
     share = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < F.col("below")
     sample = rows.join(F.broadcast(known), (F.col("lang") == F.col("known")) & share, "left_semi").select("lang", "text")
     sums = arrow(sample, _train, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
@@ -201,7 +201,7 @@ def _reject(langs: list[str], prototypes: np.ndarray):
     judge = _judge(langs, prototypes)
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             found = judge(column_bytes(batch.column("text")))
             keep = [lang != UNKNOWN and (score >= LEAST_SCORE or letters < LEAST_LETTERS) for lang, score, letters in found]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, spread_join
+from .common import checkpoint, local, ship, spread_join
 
 #: Groups in a chunk, on average, and chunks at most (the driver gets one row per chunk).
 CHUNK, MOST_CHUNKS = 20_000, 65_536
@@ -95,7 +95,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     partial = placed.where("sums is not null").select("chunk", "sums").orderBy("chunk").collect()  # one row per chunk
     moved = difference([tuple(r["sums"]) for r in partial])[1] if partial else []
     spark = docs.sparkSession
-    moves = spark.createDataFrame([(r["chunk"], m) for r, m in zip(partial, moved, strict=True)], "chunk int, moved array<int>")
+    moves = local(spark, [(r["chunk"], m) for r, m in zip(partial, moved, strict=True)], "chunk int, moved array<int>")
     homes = placed.join(F.broadcast(moves), "chunk").select("k1", "k2", "rows", F.element_at("moved", F.col("place") + 1).alias("shard"))
     total = groups.agg(F.sum("rows")).head()[0] or 0
     sharded = spread_join(rows, homes, ["k1", "k2"], "rows", total, "doc_id").select("doc_id", "size", "text_crc32", "shard")

@@ -19,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, checkpoint, column_bytes, mix, shuffle_partitions, spread_join
+from .common import arrow, checkpoint, column_bytes, mix, portions, shuffle_partitions, spread_join
 from .components import components
 
 #: Fingerprints of one part of a large group.
 PART = 4096
+#: Keys made at once.
+KEYS = 100_000
 #: Tables, at most, whose groups are joined by stars before all tables are searched.
 FIRST = 8
 _LANE = np.uint64(0xD1B54A32D192ED03)
@@ -100,17 +102,15 @@ def _lanes(column: pa.Array) -> np.ndarray:
 
 
 def _keys(tables: list[np.ndarray]):
+    step = max(1, KEYS // max(len(tables), 1))
+
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(a, step) for whole in batches for a in range(0, whole.num_rows, step)):
             bits = np.unpackbits(_lanes(batch.column("fp")).view(np.uint8), axis=1, bitorder="little")
             keys = [bits[:, t].astype(np.int64) @ (1 << np.arange(len(t), dtype=np.int64)) + (i << 40) for i, t in enumerate(tables)]
             names = [x for x in batch.schema.names if x != "fp"]
             kept = [np.tile(batch.column(x).to_numpy(zero_copy_only=False), len(tables)) for x in names]
-            columns = [np.concatenate(keys), *kept]
-            for a in range(0, len(kept[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns], names=["key", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *kept)], names=["key", *names])
 
     return run
 
@@ -191,7 +191,10 @@ def _stars(keys: DataFrame, values: DataFrame, value: str, near) -> DataFrame:
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hubs = checkpoint(hubs.join(values.select(F.col("id").alias("hub"), F.col(value).alias(f"hub_{value}")), "hub"))
     total = hubs.agg(F.sum("n")).head()[0] or 0
-    rows = spread_join(keys, hubs, ["key"], "n", total, "id").where("hub <> id").drop("key").join(values.select("id", value), "id")
+    rows = spread_join(keys, hubs, ["key"], "n", total, "id").where("hub <> id").drop("key")
+    # an exchange of its own also where every join is a broadcast: a kernel that feeds another one in its task takes
+    # twice the workers, which stay
+    rows = rows.repartition(shuffle_partitions(keys.sparkSession), "id").join(values.select("id", value), "id")
     found = components(arrow(rows.select("id", value, "hub", f"hub_{value}"), near, "u long, v long"))
     return checkpoint(values.select("id").distinct().join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c")))
 
@@ -299,7 +302,7 @@ def _sketches(k: int, bits: int):
     short one; sets that may match either kind have both."""
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             ids, fps, sets = [], [], []
             for text in column_bytes(batch.column("text")):
                 own = np.unique(shingle_hashes(text, k))
@@ -313,7 +316,7 @@ def _sketches(k: int, bits: int):
 
 def _sets(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             sets = [np.unique(shingle_hashes(t, k)) for t in column_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
 
