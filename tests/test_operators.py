@@ -430,3 +430,46 @@ def test_binary_matrix_reads_its_input_once(spark):
     assert read.value == len(pairs)
     numbers = spark.createDataFrame([(2, 1), (1, 10), (1, 2), (10, 1)], "user_id long, track_id long")
     assert sorted(rows(models.binary_matrix(numbers).select("user_ix", "item_ix", "value"))) == sorted(rows(found))
+
+
+def test_best_unseen_equals_brute_force():
+    """Seen items, equal scores, users who have seen nearly all, several chunks and steps."""
+    rng = np.random.default_rng(6)
+    u, v, b = rng.normal(0, 0.3, (40, 4)), rng.normal(0, 0.3, (300, 4)), rng.normal(0, 0.3, 300)
+    v[50:60], b[50:60], u[7] = v[3], b[3], 0
+    seen = rng.random((40, 300)) < 0.1
+    seen[5], seen[6, 4:] = True, True
+    scores = np.where(seen, -np.inf, u @ v.T + b)
+    who, nth, what, score = models.best_unseen(u, v, b, *np.nonzero(seen), 10, chunk=32, step=16)
+    for x in range(40):
+        best = [i for i in models.best_places(scores[x].round(12), 10).tolist() if not seen[x, i]]
+        assert what[who == x].tolist() == best and nth[who == x].tolist() == list(range(1, len(best) + 1))
+        assert np.allclose(score[who == x], scores[x, best])
+
+
+def test_own_items_are_different_and_evenly_drawn():
+    sizes = np.repeat([1, 2, 4, 9], 3000)
+    found = models._own_items(np.random.default_rng(7), sizes, 4)
+    for n in (1, 2, 4, 9):
+        rows_ = found[sizes == n]
+        assert all(len(set(r) - {-1}) == min(n, 4) == 4 - r.count(-1) for r in rows_.tolist())
+        share = np.bincount(rows_[rows_ >= 0], minlength=n) / (3000 * min(n, 4))
+        assert np.allclose(share, 1 / n, atol=0.02)
+
+
+def test_warp_topk_deals_the_matrix_once(spark, monkeypatch):
+    """Several blocks and seeds: every user's unseen items for each seed, without a copy of the cells for each seed."""
+    monkeypatch.setattr(models, "WARP_BLOCK", 60)
+    rng = np.random.default_rng(8)
+    cells = [(u, i, 1.0) for u in range(30) for i in range(25) if rng.random() < 0.4 or i == 24]
+    found = models.warp_topk(spark.createDataFrame(cells, "user_ix int, item_ix int, value float"), [1, 2], rank=4, kth=3, k=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "InPandas" not in plan
+    liked = {u: {i for x, i, _ in cells if x == u} for u in range(30)}
+    lists = {}
+    for seed, u, i, rank, score in rows(found.orderBy("seed", "user_ix", "rank")):
+        lists.setdefault((seed, u), []).append((rank, i, score))
+    assert len(lists) == 60
+    for (_, u), got in lists.items():
+        assert len(got) == min(20, 25 - len(liked[u])) and [r for r, _, _ in got] == list(range(1, len(got) + 1))
+        assert not liked[u] & {i for _, i, _ in got} and [s for _, _, s in got] == sorted((s for _, _, s in got), reverse=True)
