@@ -473,3 +473,13 @@ def test_warp_topk_deals_the_matrix_once(spark, monkeypatch):
     for (_, u), got in lists.items():
         assert len(got) == min(20, 25 - len(liked[u])) and [r for r, _, _ in got] == list(range(1, len(got) + 1))
         assert not liked[u] & {i for _, i, _ in got} and [s for _, _, s in got] == sorted((s for _, _, s in got), reverse=True)
+
+
+def test_differences_are_taken_once_for_all_measures(monkeypatch):
+    """Tiles smaller than the rows; sums in order of the dimensions."""
+    monkeypatch.setattr(pairs, "TILE", 40)
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(23, 7)), rng.normal(size=(17, 7))
+    squares, sums = pairs.differences(a, b, np.square, np.abs)
+    assert np.allclose(squares, ((a[:, None] - b[None]) ** 2).sum(2)) and np.allclose(sums, np.abs(a[:, None] - b[None]).sum(2))
+    assert (pairs.differences(a, b)[0] == sums).all()
